@@ -23,7 +23,7 @@ def list_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_documents(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """``document_id, document_text, media``: one row per file, UTF-8, newlines folded."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     return files.select(
         _key(files).alias("document_id"), fold_newlines(F.col("value")).alias("document_text")
     ).withColumn("media", media_of(F.col("document_id")))
@@ -39,9 +39,7 @@ def scan_images(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_policies(spark: SparkSession, path: str) -> DataFrame:
     """``file_name, text`` of the files directly in a folder (sub-folders are not entered)."""
-    files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", False).text(path)
-    )
+    files = spark.read.option("recursiveFileLookup", False).text(path, wholetext=True)
     name = F.col("file_name") if "file_name" in files.columns else F.col("_metadata.file_name")
     return files.select(name.alias("file_name"), fold_newlines(F.col("value")).alias("text"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimspark import constants as C
+from claimspark import schemas
 from claimspark.functions.text import media_of
 
 
@@ -18,24 +20,24 @@ def write_results(df: DataFrame, path: str, batch_id: int) -> None:
     df.hint("rebalance").write.mode("overwrite").partitionBy("status").parquet(f"{path}/batch_id={batch_id}")
 
 
-def stored_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All written batches, with ``batch_id``."""
+def stored_results(spark: SparkSession, path: str, schema: str = schemas.RESULT) -> DataFrame:
+    """All written batches, with ``batch_id``. The schema is stated, so no file is opened for it."""
     return spark.read.schema(f"{schema}, batch_id BIGINT").option("basePath", path).parquet(path)
 
 
 def success_rows(results: DataFrame) -> DataFrame:
     """What the success sink stores, the flags, warnings and metrics included."""
-    return results.where(F.col("status").isin("success", "processed")).drop("errors", "raw_output", "error")
+    return results.where(F.col("status").isin(C.STATUS_OK, C.STATUS_STORED_OK)).drop("errors", "raw_output", "error")
 
 
 def invalid_rows(results: DataFrame) -> DataFrame:
-    return results.where(F.col("status") == "extraction_failed").select(
+    return results.where(F.col("status") == C.STATUS_INVALID).select(
         "document_id", "status", "errors", "raw_output"
     )
 
 
 def failed_rows(results: DataFrame) -> DataFrame:
-    return results.where(F.col("status") == "pipeline_failure").select("document_id", "status", "error")
+    return results.where(F.col("status") == C.STATUS_FAILED).select("document_id", "status", "error")
 
 
 def export_results_json(df: DataFrame, path: str) -> None:

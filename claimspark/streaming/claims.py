@@ -15,10 +15,9 @@ from claimspark.sources.sinks import write_results
 def stream_documents(spark: SparkSession, path: str, glob: str = "*.txt", files_per_trigger: int = 10_000) -> DataFrame:
     """Stream of ``document_id, document_text, media``; each new file is one row."""
     files = (
-        spark.readStream.option("wholetext", True)
-        .option("pathGlobFilter", glob)
+        spark.readStream.option("pathGlobFilter", glob)
         .option("maxFilesPerTrigger", files_per_trigger)
-        .text(path)
+        .text(path, wholetext=True)
     )
     return files.select(
         F.col("_metadata.file_name").alias("document_id"),
@@ -39,20 +38,30 @@ def upsert_to(path: str, process: Callable[[DataFrame], DataFrame]) -> Callable[
     return write
 
 
-def stream_claims(
-    spark: SparkSession,
-    in_path: str,
+def upsert_stream(
+    docs: DataFrame,
     out_path: str,
     checkpoint: str,
     process: Callable[[DataFrame], DataFrame],
-    glob: str = "*.txt",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Start the stream. The default trigger handles all files present and stops."""
+    """Start the stream over any streaming documents. The default trigger handles what is there and stops."""
     return (
-        stream_documents(spark, in_path, glob)
-        .writeStream.foreachBatch(upsert_to(out_path, process))
+        docs.writeStream.foreachBatch(upsert_to(out_path, process))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def stream_claims(
+    spark: SparkSession,
+    in_path: str,
+    out_path: str,
+    checkpoint: str,
+    process: Callable[[DataFrame], DataFrame],
+    glob: str = "*.txt",
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Claims dropped as files into ``in_path``, processed into the result table at ``out_path``."""
+    return upsert_stream(stream_documents(spark, in_path, glob), out_path, checkpoint, process, trigger)
