@@ -2,42 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _STRICT = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
 
 
-def object_fields(text: Column) -> Column:
-    """``map<string,string>`` of a JSON object, NULL unless the whole text is one object.
+def strict_object(df: DataFrame, text: str, fields: Sequence[str], out: str) -> DataFrame:
+    """Add ``out``: ``values`` (a string per field) and ``keys`` of a JSON object in ``text``.
 
-    The plain parser stops at the first complete value and so accepts trailing text. Two
-    wrappings close that gap: as the only element of an array and as the only member of an
-    object; text that ends a wrapper early cannot satisfy both.
+    NULL unless the whole text is exactly one object. The plain parser stops at the first
+    complete value and so accepts trailing text. Two wrappings close that gap: as the only
+    element of an array and as the only member of an object; text that ends a wrapper early
+    cannot satisfy both. The array reading gives the values (the last one of a repeated name),
+    the member reading the names. Each is a column of its own, so each is parsed once.
     """
-    as_element = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", _STRICT)
-    as_member = F.from_json(
-        F.concat(F.lit('{"w":'), text, F.lit("}")), "map<string,map<string,string>>", _STRICT
-    )
-    only = F.get(as_element, F.lit(0))
-    whole = (
-        as_element.isNotNull()
-        & (F.size(as_element) == 1)
-        & only.isNotNull()
-        & (F.size(as_member) == 1)
-        & F.try_element_at(as_member, F.lit("w")).isNotNull()
+    element = "array<struct<" + ", ".join(f"`{f}`: string" for f in fields) + ">>"
+    only = F.get(F.col("_element"), F.lit(0))
+    inner = F.try_element_at(F.col("_member"), F.lit("w"))
+    whole = (F.size("_element") == 1) & only.isNotNull() & (F.size("_member") == 1) & inner.isNotNull()
+    return (
+        df.withColumns(
+            {
+                "_element": F.from_json(F.concat(F.lit("["), F.col(text), F.lit("]")), element, _STRICT),
+                "_member": F.from_json(
+                    F.concat(F.lit('{"w":'), F.col(text), F.lit("}")), "map<string,map<string,string>>", _STRICT
+                ),
+            }
+        )
+        .withColumn(out, F.when(whole, F.struct(only.alias("values"), F.map_keys(inner).alias("keys"))))
+        .drop("_element", "_member")
     )
-    return F.when(whole, only)
-
-
-def has_field(fields: Column, name: str) -> Column:
-    return F.coalesce(F.map_contains_key(fields, name), F.lit(False))
-
-
-def field_value(fields: Column, name: str) -> Column:
-    """Value of a field; the last one where the object repeats the name."""
-    same = F.filter(F.map_entries(fields), lambda e: e["key"] == F.lit(name))
-    return F.try_element_at(same, F.lit(-1))["value"]
 
 
 def boolean_field(text: Column, name: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ _DIGITS = r"\d+(?:_\d+)*"
 NUMBER = (
     rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
 )
+# decimal digits of other scripts and their ASCII forms, from the Unicode tables
+_OTHER_DIGITS = [c for c in map(chr, range(0x660, 0x1FC00)) if unicodedata.decimal(c, None) is not None]
+_AS_ASCII = "".join(str(unicodedata.decimal(c)) for c in _OTHER_DIGITS)
 NON_FINITE = r"(?i)^[+-]?(?:inf|infinity|nan)$"
 
 
@@ -20,7 +25,7 @@ def to_number(raw: Column) -> Column:
 
     A cast alone would take ``1d`` and refuse ``1_000``, hence the pattern in front.
     """
-    text = strip_ws(raw)
+    text = F.translate(strip_ws(raw), "".join(_OTHER_DIGITS), _AS_ASCII)
     shaped = text.rlike(NUMBER) | text.rlike(NON_FINITE)
     return F.when(shaped, F.regexp_replace(text, "_", "").try_cast("double"))
 

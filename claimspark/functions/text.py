@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 from claimspark import constants as C
 
 
-def strip_ws(col: Column) -> Column:
-    """Strip Unicode whitespace at both ends (``trim`` takes spaces only).
+# The characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+JSON_SPACE = " \t\n\r"
+
 
-    The look-behind lets each inner run of blanks be tried once, so long runs stay linear.
-    """
-    return F.regexp_replace(col, r"(?U)^[\s\x1c-\x1f]+|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]+$", "")
+def strip_ws(col: Column) -> Column:
+    """Strip Unicode white space at both ends (``trim`` alone takes spaces only)."""
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 def fold_newlines(col: Column) -> Column:
     """CRLF and lone CR become LF."""
-    return F.regexp_replace(col, r"\r\n?", "\n")
+    return F.replace(F.replace(col, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def strip_code_fence(col: Column) -> Column:

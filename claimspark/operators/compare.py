@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimspark import constants as C
-from claimspark.functions.jsontext import object_fields
+from claimspark.functions.text import JSON_SPACE, strip_code_fence
 from claimspark.operators.prompts import estimate_cost, join_responses
 from claimspark.operators.validate import validate_extractions
 
@@ -43,11 +43,18 @@ def compare_models(requests: DataFrame, responses: DataFrame) -> DataFrame:
         "output_tokens",
         F.col("is_valid").alias("valid_json"),
         F.coalesce(F.size("warnings"), F.lit(0)).alias("warnings"),
-        object_fields(F.col("raw_output")).isNotNull().alias("first_try_json"),
+        _first_try().alias("first_try_json"),
         (F.col("is_valid") & ~F.exists("warnings", lambda w: w.startswith("Field '"))).alias("all_fields"),
     )
 
 
+def _first_try() -> Column:
+    """JSON as answered: the object was found, and no fence had to be removed before it."""
+    raw = F.col("raw_output")
+    as_answered = F.btrim(raw, F.lit(JSON_SPACE)) == strip_code_fence(raw)
+    return as_answered & ~F.array_contains("errors", C.MSG_NOT_JSON)
+
+
 def model_summary(cmp: DataFrame, prices: Mapping[str, tuple[float, float]] = C.TOKEN_PRICES) -> DataFrame:
     """Averages per model, and the cost of a thousand documents."""
     averages = cmp.groupBy(F.col("model").alias("model_id")).agg(

@@ -23,7 +23,7 @@ DESCRIPTION = r"(?ms)^Incident Description:[ \t]*\n?(.*?)(?:\n[ \t]*\n|\z)"
 
 def _labelled(text: Column, label: str) -> Column:
     value = strip_ws(F.regexp_extract(text, rf"(?md)^{label}:[ \t]*(.*)$", 1))
-    return F.when(value != "", value)
+    return F.nullif(value, F.lit(""))
 
 
 def extract_fields(df: DataFrame, text: str = "document_text") -> DataFrame:
@@ -42,7 +42,7 @@ def extract_fields(df: DataFrame, text: str = "document_text") -> DataFrame:
             "policy_number": _labelled(F.col("_body"), LABELS["policy_number"]),
             "incident_date": _labelled(F.col("_body"), LABELS["incident_date"]),
             "claim_amount": to_number(amount),
-            "incident_description": F.when(told != "", told),
+            "incident_description": F.nullif(told, F.lit("")),
         }
     )
     return classify_claim_type(fields).drop("_body")

@@ -122,7 +122,8 @@ def infer(
                 out["error"] = None
             except Exception as problem:  # noqa: BLE001 - every failure becomes data
                 out = keys.assign(error=f"{type(problem).__name__}: {problem}")
-            yield out.reindex(columns=columns)
+            out = out.reindex(columns=columns).astype(object)
+            yield out.where(out.notna(), None)
 
     spread = requests.repartition(partitions) if partitions else requests
     return spread.mapInPandas(call, schemas.RESPONSE)

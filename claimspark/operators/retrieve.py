@@ -146,7 +146,10 @@ def tfidf_retrieve(
     order = list(order)
     asked = term_weights(queries.select(query_id, F.col(query_text).alias(text)), text).select(
         query_id, F.explode("terms").alias("t")
-    ).select(query_id, F.col("t.term").alias("term"), F.col("t.weight").alias("query_tf"))
+    )
+    asked = materialise(
+        asked.select(query_id, F.col("t.term").alias("term"), F.col("t.weight").alias("query_tf")), "asked-terms"
+    )
     spread = F.concat_ws("/", *[F.col(c).cast("string") for c in order])
     named = asked.select("term").distinct()
     entries = (

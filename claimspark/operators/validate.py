@@ -8,24 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimspark import constants as C
-from claimspark.functions.jsontext import boolean_field, field_value, has_field, object_fields
+from claimspark.functions.jsontext import boolean_field, strict_object
 from claimspark.functions.numbers import to_number
 from claimspark.functions.text import strip_code_fence
 
 
 def parse_extraction(df: DataFrame, raw: str = "raw_output", fields: Sequence[str] = C.REQUIRED_FIELDS) -> DataFrame:
-    """Add ``cleaned``, ``is_object``, and per field ``<f>_present`` and ``<f>_value``.
-
-    The JSON is read once into ``_fields``; each later column only looks a key up.
-    """
-    read = df.withColumn("cleaned", strip_code_fence(F.col(raw))).withColumn(
-        "_fields", object_fields(F.col("cleaned"))
-    )
-    columns = {"is_object": F.col("_fields").isNotNull()}
+    """Add ``cleaned``, ``is_object``, and per field ``<f>_present`` and ``<f>_value``."""
+    read = strict_object(df.withColumn("cleaned", strip_code_fence(F.col(raw))), "cleaned", fields, "_read")
+    columns = {"is_object": F.col("_read").isNotNull()}
     for name in fields:
-        columns[f"{name}_present"] = has_field(F.col("_fields"), name)
-        columns[f"{name}_value"] = field_value(F.col("_fields"), name)
-    return read.withColumns(columns).drop("_fields")
+        columns[f"{name}_present"] = F.coalesce(F.array_contains("_read.keys", name), F.lit(False))
+        columns[f"{name}_value"] = F.col(f"_read.values.{name}")
+    return read.withColumns(columns).drop("_read")
 
 
 def check_required_fields(df: DataFrame, fields: Sequence[str] = C.REQUIRED_FIELDS) -> DataFrame:

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from claimspark.sources.files import read_table
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -210,7 +212,7 @@ def _for_engine(sql: str, engine: str) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, or a view over them, as a DataFrame. Nothing runs yet."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return read_table(spark, f"{sf_dir}/{name}.parquet")
     sql = _for_engine(VIEWS[name], "spark")
     sources = _sources(sql)
     for source in sources:

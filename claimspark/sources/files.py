@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from claimspark.functions.text import fold_newlines, media_of, safe_key, strip_ws
 
 
+FEW_SPLITS = 8
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. One that comes in a few splits is spread over the cores.
+
+    The work per document is mostly parsing, so a small file in a single split would keep one
+    core busy. A table of more than ``FEW_SPLITS`` splits is left as it lies, unshuffled.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(FEW_SPLITS, cores) else df
+
+
 def _key(df: DataFrame) -> Column:
     """Document key: the partition value where files are laid out by key, else the file name."""
     return F.col("document_id") if "document_id" in df.columns else F.col("_metadata.file_name")
