@@ -6,7 +6,9 @@ and the tables are per needle: the documents that hold it, and how many there ar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimspark import constants as C
@@ -17,46 +19,57 @@ from claimspark.session import materialise
 KINDS = {"claimant": "claimant_name", "policy": "policy_number"}
 
 
+class FraudIndex(NamedTuple):
+    """What a check needs from all claims and texts; both tables are stored ones."""
+
+    needles: DataFrame  # needle, n_claims
+    hits: DataFrame     # document_id, needle
+
+
+def _identifiers() -> Column:
+    """The two identifiers of a claim as ``kind, identifier, needle`` rows."""
+    return F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(kind).alias("kind"), F.col(c).alias("identifier"), F.lower(F.col(c)).alias("needle")
+                )
+                for kind, c in KINDS.items()
+            ]
+        )
+    )
+
+
 def fraud_needles(claims: DataFrame) -> DataFrame:
-    """Distinct lower-case names and policy numbers; missing and empty ones are skipped."""
-    stacked = claims.select(F.explode(F.array(*[F.lower(F.col(c)) for c in KINDS.values()])).alias("needle"))
-    return stacked.where(F.col("needle") != "").distinct()
+    """``needle, n_claims``: lower-case names and policy numbers and how many claims give them.
+
+    Missing and empty ones are skipped.
+    """
+    given = claims.select(_identifiers().alias("i")).select("i.needle").where(F.col("needle") != "")
+    return given.groupBy("needle").agg(F.count(F.lit(1)).alias("n_claims"))
 
 
-def fraud_hits(claims: DataFrame, texts: DataFrame, text: str = "document_text") -> DataFrame:
-    """``document_id, needle`` for documents whose text holds a needle, written once.
+def fraud_index(claims: DataFrame, texts: DataFrame, text: str = "document_text") -> FraudIndex:
+    """Needles of the claims, and the documents whose text holds them.
 
-    One scan of the texts, no shuffle of them. May hold strings that are no needle.
+    One scan of the texts, no shuffle of them. ``hits`` may hold strings that are no needle;
+    every use below joins on the needle and so drops them.
     """
     needles = materialise(fraud_needles(claims), "fraud-needles")
-    return materialise(needle_hits(needles, texts, "document_id", text), "fraud-hits")
+    hits = needle_hits(needles.select("needle"), texts, "document_id", text)
+    return FraudIndex(needles, materialise(hits, "fraud-hits"))
 
 
-def fraud_matches(claims: DataFrame, hits: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def fraud_matches(claims: DataFrame, index: FraudIndex, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """``kind, identifier, document_id``: each distinct identifier and each document holding it.
 
     This is the pair table without the pairs: a claim's matches are the rows of its own two
     identifiers, other than its own document.
     """
-    identifiers = (
-        claims.select(
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(F.lit(kind).alias("kind"), F.col(c).alias("identifier"))
-                        for kind, c in KINDS.items()
-                    ]
-                )
-            ).alias("i")
-        )
-        .select("i.*")
-        .where(F.col("identifier") != "")
-        .distinct()
-        .withColumn("needle", F.lower("identifier"))
-    )
-    per_needle = hits.groupBy("needle").agg(F.count(F.lit(1)).alias("_rows"))
+    distinct = claims.select(_identifiers().alias("i")).select("i.*").where(F.col("needle") != "").distinct()
+    per_needle = index.hits.groupBy("needle").agg(F.count(F.lit(1)).alias("_rows"))
     hot = hot_keys(per_needle, "needle", "_rows", rows_per_slice)
-    return salted_join(hits, identifiers, "needle", F.col("document_id"), hot, "inner").select(
+    return salted_join(index.hits, distinct, "needle", F.col("document_id"), hot, "inner").select(
         "kind", "identifier", "document_id"
     )
 
@@ -76,17 +89,9 @@ def reasons_for(checks: DataFrame, matches: DataFrame, rows_per_slice: int = ROW
     Order by (document_id, other_id, ord) gives the report order: claimant before policy. No
     list is collected, since one claimant may match in any number of documents.
     """
-    asked = checks.select(
-        "document_id",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(kind).alias("kind"), F.col(c).alias("identifier"))
-                    for kind, c in KINDS.items()
-                ]
-            )
-        ).alias("i"),
-    ).select(F.col("document_id").alias("_check"), F.concat_ws("|", "i.kind", "i.identifier").alias("_id"))
+    asked = checks.select(F.col("document_id").alias("_check"), _identifiers().alias("i")).select(
+        "_check", F.concat_ws("|", "i.kind", "i.identifier").alias("_id")
+    )
     known = fraud_reasons(matches).select(
         F.concat_ws("|", "kind", "identifier").alias("_id"),
         F.col("document_id").alias("other_id"),
@@ -101,36 +106,26 @@ def reasons_for(checks: DataFrame, matches: DataFrame, rows_per_slice: int = ROW
     )
 
 
-def fraud_score(claims: DataFrame, hits: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def fraud_score(claims: DataFrame, index: FraudIndex, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """``document_id, claimant_hits, policy_hits, risk_score`` for every claim, 0 without a hit.
 
     Documents are counted per needle (a partial count in each task first), and a claim takes
     the counts of its two needles less its own document. The score is 45 and 50 points per
     hit, at most 100.
     """
-    counts = materialise(hits.groupBy("needle").agg(F.count(F.lit(1)).alias("documents")), "needle-counts")
-    sides = claims.select(
-        "document_id",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(kind).alias("kind"), F.lower(F.col(c)).alias("needle"))
-                    for kind, c in KINDS.items()
-                ]
-            )
-        ).alias("s"),
-    ).select("document_id", "s.kind", "s.needle")
+    counts = index.hits.groupBy("needle").agg(F.count(F.lit(1)).alias("documents"))
+    sides = claims.select("document_id", _identifiers().alias("i")).select("document_id", "i.kind", "i.needle")
     # own document: an equality on (document, needle), where no key is hot
-    own = hits.select("document_id", "needle", F.lit(1).alias("_own"))
+    own = index.hits.select("document_id", "needle", F.lit(1).alias("_own"))
     sides = sides.where(F.col("needle") != "").join(own, ["document_id", "needle"], "left")
-    owners = claims.select(F.explode(F.array(*[F.lower(F.col(c)) for c in KINDS.values()])).alias("needle"))
-    per_needle = owners.groupBy("needle").agg(F.count(F.lit(1)).alias("_rows"))
-    hot = hot_keys(per_needle, "needle", "_rows", rows_per_slice)
+    hot = hot_keys(index.needles, "needle", "n_claims", rows_per_slice)
     counted = salted_join(sides, counts, "needle", F.col("document_id"), hot, "left").withColumn(
         "others", F.coalesce("documents", F.lit(0)) - F.coalesce("_own", F.lit(0))
     )
     # every claim contributes a zero row, so claims without any needle stay in the answer
-    zero = claims.select("document_id", F.lit(None).cast("string").alias("kind"), F.lit(0).cast("bigint").alias("others"))
+    zero = claims.select(
+        "document_id", F.lit(None).cast("string").alias("kind"), F.lit(0).cast("bigint").alias("others")
+    )
     of_kind = {
         kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("others"))), F.lit(0)) for kind in KINDS
     }

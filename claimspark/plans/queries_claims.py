@@ -146,14 +146,12 @@ def _grouped(amount: str) -> str:
     whole = f"CAST(CAST(trunc({amount}) AS BIGINT) AS STRING)"
     cents = f"rtrim(rtrim(right(CAST({amount} AS STRING), 3), '0'), '.')"
     head = f"left({whole}, greatest(length({whole}) - 3, 0))"
-    pairs = f"reverse(regexp_replace(reverse({head}), '(..)(.)', '\\1,\\2', 'g'))"
-    long_pairs = (
+    pairs = (
         f"CASE WHEN length({head}) = 0 THEN '' WHEN length({head}) <= 2 THEN {head} || ',' "
         f"WHEN length({head}) <= 4 THEN left({head}, length({head}) - 2) || ',' || right({head}, 2) || ',' "
         f"ELSE left({head}, length({head}) - 4) || ',' || substr({head}, length({head}) - 3, 2) || ',' || right({head}, 2) || ',' END"
     )
-    del pairs
-    return f"({long_pairs} || right({whole}, 3) || {cents})"
+    return f"({pairs} || right({whole}, 3) || {cents})"
 
 
 @query(f"SELECT document_id, {_grouped('claim_amount')} AS amount_inr FROM claims")
@@ -411,7 +409,7 @@ _SHAPED = f"""
 """
 
 
-def _success_columns(rows: DataFrame) -> DataFrame:
+def _success_columns(rows: DataFrame, *more: str) -> DataFrame:
     info = F.col("extracted_info")
     return rows.select(
         "document_id",
@@ -426,6 +424,7 @@ def _success_columns(rows: DataFrame) -> DataFrame:
         F.col("metrics.extraction_latency_s").alias("extraction_latency_s"),
         F.col("metrics.summary_latency_s").alias("summary_latency_s"),
         "processed_timestamp",
+        *more,
     )
 
 
@@ -447,8 +446,7 @@ SELECT document_id, status, {_NULLED}, processed_timestamp,
 FROM {_SHAPED} s
 """)
 def shape_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _shaped(spark, sf_dir)
-    return _success_columns(rows).join(rows.select("document_id", "errors", "raw_output", "error"), "document_id")
+    return _success_columns(_shaped(spark, sf_dir), "errors", "raw_output", "error")
 
 
 def _written(spark: SparkSession, sf_dir: str) -> DataFrame:

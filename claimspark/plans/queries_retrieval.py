@@ -135,9 +135,9 @@ _MATCHES = f"""
 """
 
 
-def _fraud_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _fraud_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, fraud.FraudIndex]:
     claims = table(spark, sf_dir, "claims").select("document_id", "claimant_name", "policy_number")
-    return claims, fraud.fraud_hits(claims, table(spark, sf_dir, "claim_docs"))
+    return claims, fraud.fraud_index(claims, table(spark, sf_dir, "claim_docs"))
 
 
 @query(f"SELECT * FROM {_MATCHES} m")

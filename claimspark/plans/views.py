@@ -93,21 +93,17 @@ _DEFECTS = [
     _body(amount="'\"\"'"),
 ]
 
-_OUTPUT = """
-SELECT document_id, claim_no, '{model}' AS model_id, 'extract_info' AS task,
-       CASE (claim_no + {shift}) % {n} {cases} END AS raw_output,
-       CAST(248 + claim_no % 97 AS BIGINT) AS input_tokens,
-       CAST({out} + claim_no % 13 AS BIGINT) AS output_tokens,
-       CAST({ms} + claim_no % 31 AS DOUBLE) / 100.0 AS latency_seconds
-FROM claims"""
-
-
-def _outputs(model: str, shift: int, out: int, ms: int) -> str:
-    cases = "\n         ".join(f"WHEN {i} THEN {sql}" for i, sql in enumerate(_DEFECTS))
-    return _OUTPUT.format(model=model, shift=shift, n=len(_DEFECTS), cases=cases, out=out, ms=ms)
+_CASES = "\n         ".join(f"WHEN {i} THEN {sql}" for i, sql in enumerate(_DEFECTS))
 
-
-VIEWS["model_outputs"] = _outputs("small", 0, 118, 90) + "\nUNION ALL" + _outputs("large", 5, 145, 210)
+VIEWS["model_outputs"] = f"""
+SELECT document_id, claim_no, model_id, 'extract_info' AS task,
+       CASE (claim_no + CASE model_id WHEN 'small' THEN 0 ELSE 5 END) % {len(_DEFECTS)}
+         {_CASES} END AS raw_output,
+       CAST(248 + claim_no % 97 AS BIGINT) AS input_tokens,
+       CAST(CASE model_id WHEN 'small' THEN 118 ELSE 145 END + claim_no % 13 AS BIGINT) AS output_tokens,
+       CAST(CASE model_id WHEN 'small' THEN 90 ELSE 210 END + claim_no % 31 AS DOUBLE) / 100.0 AS latency_seconds
+FROM (SELECT *, each_of('small', 'large') AS model_id FROM claims) c
+"""
 
 # answers arrive for orders that have a line item; the other requests stay unanswered
 VIEWS["responses"] = """
@@ -193,8 +189,14 @@ SELECT 'page_' || lpad(CAST(page_id AS STRING), 9, '0') || '.txt' AS document_id
 """
 
 _ENGINE = {
-    "spark": {r"epoch_day\((\w+)\)": r"unix_date(CAST(\1 AS DATE))"},
-    "duckdb": {r"epoch_day\((\w+)\)": r"(CAST(\1 AS DATE) - DATE '1970-01-01')"},
+    "spark": {
+        r"epoch_day\((\w+)\)": r"unix_date(CAST(\1 AS DATE))",
+        r"each_of\(([^)]*)\)": r"explode(array(\1))",
+    },
+    "duckdb": {
+        r"epoch_day\((\w+)\)": r"(CAST(\1 AS DATE) - DATE '1970-01-01')",
+        r"each_of\(([^)]*)\)": r"unnest([\1])",
+    },
 }
 
 

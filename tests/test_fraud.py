@@ -5,7 +5,7 @@ import random
 import pytest
 
 from claimspark.operators import fraud, matching
-from claimspark.operators.fraud import fraud_band, fraud_hits, fraud_matches, fraud_reasons, fraud_score, reasons_for
+from claimspark.operators.fraud import fraud_band, fraud_index, fraud_matches, fraud_reasons, fraud_score, reasons_for
 
 CLAIM = "document_id STRING, claimant_name STRING, policy_number STRING"
 TEXT = "document_id STRING, document_text STRING"
@@ -104,10 +104,10 @@ def brute_reasons(claims, texts):
 @pytest.mark.parametrize("rows_per_slice", [1, 1_000_000])
 def test_scores_and_reasons(spark, rows_per_slice):
     claims, texts, claim_df, text_df = sample(spark)
-    hits = fraud_hits(claim_df, text_df)
-    got = {r[0]: tuple(r[1:]) for r in fraud_score(claim_df, hits, rows_per_slice).collect()}
+    index = fraud_index(claim_df, text_df)
+    got = {r[0]: tuple(r[1:]) for r in fraud_score(claim_df, index, rows_per_slice).collect()}
     assert got == brute_scores(claims, texts)
-    matches = fraud_matches(claim_df, hits, rows_per_slice)
+    matches = fraud_matches(claim_df, index, rows_per_slice)
     pairs = reasons_for(claim_df, matches, rows_per_slice).orderBy("document_id", "other_id", "ord")
     assert [(r["document_id"], r["other_id"], r["reason"]) for r in pairs.collect()] == brute_reasons(claims, texts)
 
@@ -117,19 +117,19 @@ def test_one_needle_owns_most_documents(spark):
     claims = [(f"h{i}", "Hot Name", f"P-{i:03d}") for i in range(120)] + [(f"o{i}", f"Name{i}", f"Q-{i:03d}") for i in range(80)]
     texts = [(k, f"{n} {p}") for k, n, p in claims]
     claim_df, text_df = spark.createDataFrame(claims, CLAIM), spark.createDataFrame(texts, TEXT)
-    hits = fraud_hits(claim_df, text_df)
+    index = fraud_index(claim_df, text_df)
     for rows_per_slice in (7, 1_000_000):
-        got = {r[0]: tuple(r[1:]) for r in fraud_score(claim_df, hits, rows_per_slice).collect()}
+        got = {r[0]: tuple(r[1:]) for r in fraud_score(claim_df, index, rows_per_slice).collect()}
         assert got == brute_scores(claims, texts)
-    assert fraud_matches(claim_df, hits, 7).count() == 120 + 200 + sum(
+    assert fraud_matches(claim_df, index, 7).count() == 120 + 200 + sum(
         1 for n in range(80) for m in range(80) if n != m and f"name{n}" in f"name{m}"
     ) + 80
 
 
 def test_score_does_not_depend_on_row_order(spark):
     claims, texts, claim_df, text_df = sample(spark)
-    hits = fraud_hits(claim_df.orderBy("policy_number").repartition(3), text_df.repartition(5))
-    got = {r[0]: r[3] for r in fraud_score(claim_df, hits).collect()}
+    index = fraud_index(claim_df.orderBy("policy_number").repartition(3), text_df.repartition(5))
+    got = {r[0]: r[3] for r in fraud_score(claim_df, index).collect()}
     assert got == {k: v[2] for k, v in brute_scores(claims, texts).items()}
 
 
@@ -151,6 +151,6 @@ def test_reason_texts(spark):
 
 def test_no_claims_have_no_needles(spark):
     empty = spark.createDataFrame([("c", None, "")], CLAIM)
-    hits = fraud.fraud_hits(empty, spark.createDataFrame([("c", "text")], TEXT))
-    assert hits.count() == 0
-    assert [tuple(r) for r in fraud_score(empty, hits).collect()] == [("c", 0, 0, 0)]
+    index = fraud.fraud_index(empty, spark.createDataFrame([("c", "text")], TEXT))
+    assert index.hits.count() == 0
+    assert [tuple(r) for r in fraud_score(empty, index).collect()] == [("c", 0, 0, 0)]
