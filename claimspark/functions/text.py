@@ -68,9 +68,17 @@ def figures(col: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda f: F.regexp_replace(f, ",", "")))
 
 
+WORD = r"[\p{L}\p{N}]+"
+
+
+def has_words(col: Column) -> Column:
+    """Whether :func:`words` finds any; stops at the first."""
+    return col.rlike(WORD)
+
+
 def words(col: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(col), F.lit(r"[\p{L}\p{N}]+"), 0)
+    return F.regexp_extract_all(F.lower(col), F.lit(WORD), 0)
 
 
 def format_inr(amount: Column) -> Column:

@@ -54,10 +54,15 @@ def _bit_positions(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return h & mask, (h >> np.uint64(32)) & mask
 
 
-def _hash_text(text: str) -> np.ndarray:
-    data = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
-    sums = _prefix_sums(data, _powers(_BASE, len(data)))
-    return _window_hashes(data, sums, np.ones(1, dtype=np.uint64), len(data))
+def _hash_texts(texts: list[bytes]) -> np.ndarray:
+    """Hash of each whole text, equal to the hash of a window with the same bytes."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    sums = _prefix_sums(data, _powers(_BASE, len(data) + 1))
+    scale = _powers(_INVERSE, len(data) + 1)
+    return _mix((sums[ends] - sums[starts]) * scale[starts] + sizes.astype(np.uint64))
 
 
 def _needle_bitmap(needles: DataFrame, bits: int) -> np.ndarray:
@@ -65,7 +70,8 @@ def _needle_bitmap(needles: DataFrame, bits: int) -> np.ndarray:
 
     @F.pandas_udf("array<bigint>")
     def both_bits(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [int(p[0]) + 1 for p in _bit_positions(_hash_text(t), bits)])
+        both = _bit_positions(_hash_texts([t.encode("utf-8") for t in texts]), bits)
+        return pd.Series((np.stack(both, axis=1).astype(np.int64) + 1).tolist())
 
     rows = (
         needles.select(F.explode(both_bits("needle")).alias("bit"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark import constants as C
-from claimspark.functions.text import words
+from claimspark.functions.text import has_words, words
 from claimspark.functions.vectors import cosine_block, norm
 from claimspark.operators.skew import is_small, lookup_join
 from claimspark.session import materialise
@@ -108,9 +108,10 @@ def term_weights(chunks: DataFrame, text: str = "chunk") -> DataFrame:
     last_of_run = F.filter(
         F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(tokens, i) != F.get(tokens, i - 1))
     )
+    none = F.array().cast("array<int>")
     counted = F.zip_with(
         F.col("_ends"),
-        F.concat(F.array(F.lit(0)), F.slice(F.col("_ends"), 1, F.size("_ends") - 1)),
+        F.slice(F.concat(F.array(F.lit(0)), F.col("_ends")), 1, F.size("_ends")),
         lambda end, start: F.struct(
             F.get(tokens, end - 1).alias("term"),
             (F.lit(1.0) + F.log((end - start).cast("double"))).alias("weight"),
@@ -118,15 +119,26 @@ def term_weights(chunks: DataFrame, text: str = "chunk") -> DataFrame:
     )
     length = F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + t["weight"] * t["weight"])
     return (
-        chunks.withColumn("_tokens", F.array_sort(words(F.col(text))))
-        .where(F.size("_tokens") > 0)
-        .withColumn("_ends", last_of_run)
+        chunks.withColumn("_tokens", F.sort_array(words(F.col(text))))
+        .withColumn("_ends", F.when(n > 0, last_of_run).otherwise(none))
         .withColumn("terms", counted)
         .withColumn("term_norm", F.sqrt(length))
         .drop("_tokens", "_ends")
     )
 
 
+def _entries(chunks: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """``*keys, term_norm, term, weight``, a row per term of a chunk.
+
+    Exploded as outer, with the empty rows dropped afterwards: for a plain explode Catalyst
+    derives a filter on the exploded list and counts all terms a second time to evaluate it.
+    """
+    listed = term_weights(chunks, text).select(*keys, "term_norm", F.explode_outer("terms").alias("t"))
+    return listed.where(F.col("t").isNotNull()).select(
+        *keys, "term_norm", F.col("t.term").alias("term"), F.col("t.weight").alias("weight")
+    )
+
+
 def tfidf_retrieve(
     chunks: DataFrame,
     queries: DataFrame,
@@ -144,21 +156,13 @@ def tfidf_retrieve(
     the products. Chunks that share no term with a query are not returned for it.
     """
     order = list(order)
-    asked = term_weights(queries.select(query_id, F.col(query_text).alias(text)), text).select(
-        query_id, F.explode("terms").alias("t")
-    )
-    asked = materialise(
-        asked.select(query_id, F.col("t.term").alias("term"), F.col("t.weight").alias("query_tf")), "asked-terms"
-    )
+    asked = _entries(queries.select(query_id, F.col(query_text).alias(text)), [query_id], text)
+    asked = materialise(asked.select(query_id, "term", F.col("weight").alias("query_tf")), "asked-terms")
     spread = F.concat_ws("/", *[F.col(c).cast("string") for c in order])
     named = asked.select("term").distinct()
-    entries = (
-        term_weights(chunks.select(*order, text), text)
-        .select(*order, "term_norm", F.explode("terms").alias("t"))
-        .select(*order, "term_norm", F.col("t.term").alias("term"), F.col("t.weight").alias("weight"))
-    )
+    entries = _entries(chunks.select(*order, text), order, text)
     hits = materialise(lookup_join(entries, named, "term", spread, "left_semi"), "term-hits")
-    total = chunks.where(F.size(words(F.col(text))) > 0).agg(F.count(F.lit(1))).first()[0]
+    total = chunks.where(has_words(F.col(text))).agg(F.count(F.lit(1))).first()[0]
     idf = hits.groupBy("term").agg(F.log(F.lit(1.0) + F.lit(float(total)) / F.count(F.lit(1))).alias("idf"))
     weighted = asked.join(idf, "term").withColumn("query_weight", F.col("query_tf") * F.col("idf"))
     # terms no chunk holds have no idf and weigh nothing on either side

@@ -61,11 +61,13 @@ def scan_policies(spark: SparkSession, path: str) -> DataFrame:
 def chunk_paragraphs(df: DataFrame, key: str = "file_name", text: str = "text") -> DataFrame:
     """``file_name, pos, chunk``: paragraphs between blank lines, stripped, empty ones dropped.
 
-    ``pos`` counts the kept paragraphs of a file from 0.
+    ``pos`` counts the kept paragraphs of a file from 0. The outer form keeps Catalyst from
+    splitting every text twice, once only to see whether the list is empty.
     """
     pieces = F.transform(F.split(F.col(text), "\n\n"), strip_ws)
     kept = F.filter(pieces, lambda p: p != "")
-    return df.select(F.col(key).alias("file_name"), F.posexplode(kept).alias("pos", "chunk"))
+    listed = df.select(F.col(key).alias("file_name"), F.posexplode_outer(kept).alias("pos", "chunk"))
+    return listed.where(F.col("chunk").isNotNull())
 
 
 def classify_media(df: DataFrame, key: str = "document_id") -> DataFrame:
