@@ -52,7 +52,8 @@ def fraud_needles(claims: DataFrame) -> DataFrame:
 def fraud_index(claims: DataFrame, texts: DataFrame, text: str = "document_text") -> FraudIndex:
     """Needles of the claims, and the documents whose text holds them.
 
-    One scan of the texts, no shuffle of them. ``hits`` may hold strings that are no needle;
+    Claims and texts have one row per ``document_id`` (see ``latest_results`` for tables that
+    keep every delivery). One scan of the texts, no shuffle of them. ``hits`` may hold strings that are no needle;
     every use below joins on the needle and so drops them.
     """
     needles = materialise(fraud_needles(claims), "fraud-needles")

@@ -101,7 +101,7 @@ def stored_or_computed(
     document.
     """
     stored = results.join(docs.select("document_id").distinct(), "document_id", "left_semi")
-    missing = docs.join(results.select("document_id"), "document_id", "left_anti")
+    missing = docs.join(results.select("document_id").distinct(), "document_id", "left_anti")
     return stored.withColumn("source", F.lit("stored")).unionByName(
         compute(missing).withColumn("source", F.lit("computed")), allowMissingColumns=True
     )
@@ -127,9 +127,9 @@ def claim_metrics(df: DataFrame) -> DataFrame:
 def claim_listing(docs: DataFrame, results: DataFrame) -> DataFrame:
     """Listing row per document: ``document_id, badge, code, icon_type``.
 
-    ``results`` has one row per document; only its keys are read.
+    Only the keys of ``results`` are read; a document stored many times is listed once.
     """
-    done = results.select("document_id", F.lit(True).alias("_done"))
+    done = results.select("document_id").distinct().withColumn("_done", F.lit(True))
     scan = F.lower("document_id").rlike(r"\.(png|jpg)$")
     return docs.select("document_id").join(done, "document_id", "left").select(
         "document_id",

@@ -17,6 +17,7 @@ from claimspark.plans.registry import query
 from claimspark.plans.views import table
 from claimspark.session import fresh_path
 from claimspark.sources import sinks
+from claimspark.streaming.claims import upsert_stream
 
 SMALL, LARGE = "small", "large"
 
@@ -131,6 +132,11 @@ def infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.infer(jobs.extraction_requests(table(spark, sf_dir, "claim_docs"), SMALL), _length_model)
 
 
+@query("SELECT document_id, claim_type || ' claim coverage limits and exclusions' AS query_text FROM claims")
+def retrieval_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prompts.retrieval_query(table(spark, sf_dir, "claims")).select("document_id", "query_text")
+
+
 @query("""
 SELECT document_id, CASE substr(policy_number, 1, 5) WHEN 'AUTO-' THEN 'auto' WHEN 'PROP-' THEN 'property'
        WHEN 'HLTH-' THEN 'health' ELSE 'other' END AS claim_type
@@ -522,6 +528,22 @@ def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.status_counts(_judged(spark, sf_dir).withColumn("claim_type", kind), by_type=True)
 
 
+@query(f"SELECT status, count(*) AS n FROM {_JUDGED} j GROUP BY status")
+def stream_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arriving as a stream, judged against stored answers, routed to the status folders."""
+    landed, stored = fresh_path(spark, "inbox"), fresh_path(spark, "results")
+    docs = table(spark, sf_dir, "claim_docs").select("document_id", "document_text")
+    docs.write.parquet(landed)
+    answers = table(spark, sf_dir, "responses")
+    upsert_stream(
+        spark.readStream.schema(docs.schema).parquet(landed),
+        stored,
+        fresh_path(spark, "stream-state"),
+        lambda batch: results.shape_results(jobs.judged_claims(batch, answers, SMALL), now=0),
+    ).awaitTermination()
+    return compare.status_counts(sinks.stored_results(spark, stored))
+
+
 _METRICS = """
 (SELECT document_id, claim_type, latency_seconds AS x, CAST(210 + claim_no % 61 AS DOUBLE) / 100.0 AS y
  FROM (SELECT c.document_id, c.claim_type, c.claim_no, r.latency_seconds FROM claims c
@@ -564,8 +586,7 @@ SELECT c.document_id, CASE WHEN r.document_id IS NULL THEN 'Unprocessed' ELSE 'P
 FROM claims c LEFT JOIN {_KEYED} r ON c.document_id = r.document_id
 """)
 def claim_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = results.latest_results(table(spark, sf_dir, "results_log"))
-    return results.claim_listing(table(spark, sf_dir, "claims"), latest)
+    return results.claim_listing(table(spark, sf_dir, "claims"), table(spark, sf_dir, "results_log"))
 
 
 @query(f"""

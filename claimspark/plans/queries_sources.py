@@ -240,3 +240,17 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).awaitTermination()
     written = sinks.stored_results(spark, stored)
     return _flat(latest_results(written))
+
+
+@query(f"SELECT * EXCLUDE (batch_id, summary) FROM {_LATEST} r")
+def stream_redelivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results delivered again and again in several batches; the newest of each document is read."""
+    landed, stored = fresh_path(spark, "deliveries"), fresh_path(spark, "results")
+    log = table(spark, sf_dir, "results_log").withColumnRenamed("batch_id", "delivery")
+    log.write.parquet(landed)
+    arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 4).parquet(landed)
+    upsert_stream(arriving, stored, fresh_path(spark, "stream-state"), lambda batch: batch).awaitTermination()
+    columns = ", ".join(f"{name} {kind}" for name, kind in log.dtypes)
+    written = sinks.stored_results(spark, stored, columns)
+    order = ("processed_timestamp", "delivery", "claim_amount", "status", "summary")
+    return _plain(latest_results(written, order=order)).drop("batch_id", "delivery", "summary")

@@ -76,8 +76,12 @@ def classify_media(df: DataFrame, key: str = "document_id") -> DataFrame:
 
 
 def source_with_fallback(primary: DataFrame, fallback: DataFrame, key: str = "document_id") -> DataFrame:
-    """All primary rows, and the fallback rows whose key the primary lacks."""
-    return primary.unionByName(fallback.join(primary.select(key), key, "left_anti"))
+    """All primary rows, and the fallback rows whose key the primary lacks.
+
+    The keys are made distinct first: it costs no shuffle beyond the join's own, and copies of
+    one key do not pile up in its partition.
+    """
+    return primary.unionByName(fallback.join(primary.select(key).distinct(), key, "left_anti"))
 
 
 def admit_uploads(

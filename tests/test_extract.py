@@ -52,7 +52,7 @@ INVOICE = (
     "Date of Invoice: 2026-05-15\nClaim Amount Requested: INR 145000\n"
     "Incident Description: Repair invoice for rear bumper (INR 85,000). Total: INR 145,000."
 )
-DOCS = [("claim_auto_001.txt", AUTO), ("claim_health_003.txt", HEALTH), ("claim_property_002.txt", PROPERTY)]
+DOCS = [("claim_car.txt", AUTO), ("claim_care.txt", HEALTH), ("claim_home.txt", PROPERTY)]
 
 
 @pytest.fixture(scope="module")
@@ -70,9 +70,9 @@ def test_sample_forms(docs):
         for r in extract.extract_fields(docs).collect()
     }
     assert got == {
-        "claim_auto_001.txt": ("Rajesh Kumar Menon", "AUTO-TN-88213", "2026-05-14", 145000.0, "auto"),
-        "claim_property_002.txt": ("Priya Subramaniam", "PROP-TN-55097", "2026-06-02", 380000.0, "property"),
-        "claim_health_003.txt": ("Suresh Babu Iyer", "HLTH-TN-31042", "2026-04-28", 92500.0, "health"),
+        "claim_car.txt": ("Rajesh Kumar Menon", "AUTO-TN-88213", "2026-05-14", 145000.0, "auto"),
+        "claim_home.txt": ("Priya Subramaniam", "PROP-TN-55097", "2026-06-02", 380000.0, "property"),
+        "claim_care.txt": ("Suresh Babu Iyer", "HLTH-TN-31042", "2026-04-28", 92500.0, "health"),
     }
 
 
@@ -169,11 +169,11 @@ def test_indian_grouping(spark, amount, shown):
 
 
 def test_media_and_codes(spark):
-    keys = ["a.PNG", "My_Invoice.jpeg", "b.txt", "c.jpg.txt", "claim_auto_001.txt", "claim_claim_x.txt.txt.png"]
+    keys = ["a.PNG", "My_Invoice.jpeg", "b.txt", "c.jpg.txt", "claim_car.txt", "claim_claim_x.txt.txt.png"]
     rows = spark.createDataFrame([(k,) for k in keys], "k STRING")
     got = [tuple(r) for r in rows.select(media_of(F.col("k")), clean_code(F.col("k"))).collect()]
     assert [g[0] for g in got] == ["photo", "invoice", "text", "text", "text", "photo"]
-    assert got[4][1] == "AUTO_001" and got[5][1] == "CLAIM_X.TXT"
+    assert got[4][1] == "CAR" and got[5][1] == "CLAIM_X.TXT"
 
 
 RULE_CASES = [
@@ -199,7 +199,7 @@ def test_coverage_rules(spark):
 
 def test_form_path_end_to_end(docs):
     got = {r["document_id"]: r for r in jobs.process_forms(docs, now=7).collect()}
-    row = got["claim_auto_001.txt"]
+    row = got["claim_car.txt"]
     assert row["status"] == "success" and row["validation_warnings"] == [] and row["injection_flags"] == []
     assert float(row["extracted_info"]["claim_amount"]) == 145000 and row["processed_timestamp"] == 7
     assert row["summary"].startswith("Rajesh Kumar Menon claims INR 1,45,000 for an incident on 2026-05-14. On the evening")

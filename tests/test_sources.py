@@ -133,17 +133,17 @@ def test_each_status_keeps_its_columns(spark):
 def test_stored_wins_over_computed(spark):
     docs = spark.createDataFrame(DOCS, "document_id STRING, document_text STRING")
     path = fresh_path(spark, "results")
-    sinks.write_results(jobs.process_forms(docs.where("document_id = 'claim_auto_001.txt'"), now=1), path, 0)
+    sinks.write_results(jobs.process_forms(docs.where("document_id = 'claim_car.txt'"), now=1), path, 0)
     stored = results.latest_results(sinks.stored_results(spark, path))
     got = results.stored_or_computed(docs, stored, lambda missing: jobs.process_forms(missing, now=2))
     assert {r["document_id"]: (r["source"], r["processed_timestamp"]) for r in got.collect()} == {
-        "claim_auto_001.txt": ("stored", 1), "claim_health_003.txt": ("computed", 2), "claim_property_002.txt": ("computed", 2),
+        "claim_car.txt": ("stored", 1), "claim_care.txt": ("computed", 2), "claim_home.txt": ("computed", 2),
     }
-    keys = spark.createDataFrame([("claim_auto_001.txt",), ("absent",), ("claim_auto_001.txt",)], "document_id STRING")
+    keys = spark.createDataFrame([("claim_car.txt",), ("absent",), ("claim_car.txt",)], "document_id STRING")
     assert results.lookup_results(stored, keys).count() == 1
     listing = {r["document_id"]: (r["badge"], r["code"], r["icon_type"]) for r in results.claim_listing(docs, stored).collect()}
-    assert listing["claim_auto_001.txt"] == ("Processed", "AUTO_001", "Doc")
-    assert listing["claim_health_003.txt"][0] == "Unprocessed"
+    assert listing["claim_car.txt"] == ("Processed", "CAR", "Doc")
+    assert listing["claim_care.txt"][0] == "Unprocessed"
     back = results.read_results(stored).first()
     assert back["extracted_info"]["claim_amount"] == 145000.0 and back["validation_warnings"] == []
 
@@ -166,7 +166,7 @@ def test_json_export(spark, tmp_path):
     sinks.export_results_json(jobs.process_forms(docs, now=1), str(tmp_path / "out"))
     lines = [json.loads(x) for p in (tmp_path / "out").glob("*.json") for x in p.read_text().splitlines()]
     assert {x["document_id"]: x["extracted_info"]["claim_type"] for x in lines} == {
-        "claim_auto_001.txt": "auto", "claim_health_003.txt": "health", "claim_property_002.txt": "property",
+        "claim_car.txt": "auto", "claim_care.txt": "health", "claim_home.txt": "property",
     }
 
 
