@@ -4,6 +4,9 @@ Substring tests of every needle against every document do not scale. Here each d
 cut, inside its task, into windows of the needles' lengths; windows whose hash no needle has
 are dropped at once, by a bitmap of fixed size. The few that remain are plain strings, and
 equality decides. Nothing is approximate: the bitmap only ever keeps too much.
+
+Needles of many lengths share a few prefix lengths (powers of two). Every position is tested
+for those prefixes only; the full lengths are tested where a prefix was found.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ MIN_BITS = 1 << 20
 MAX_BITS = 1 << 29        # 64 MiB, whatever the number of needles
 BITS_PER_NEEDLE = 64
 BUCKET_BITS = 32768       # bits per row of Spark's bitmap aggregate
-BLOCK_BYTES = 1 << 20     # text hashed at a time; blocks overlap by the longest needle
+BLOCK_BYTES = 1 << 18     # text hashed at a time; blocks overlap by the longest needle
+LONGEST_PREFIX = 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -65,16 +69,22 @@ def _hash_texts(texts: list[bytes]) -> np.ndarray:
     return _mix((sums[ends] - sums[starts]) * scale[starts] + sizes.astype(np.uint64))
 
 
+def _prefix_size(length: int) -> int:
+    return min(LONGEST_PREFIX, 1 << (length.bit_length() - 1))
+
+
 def _needle_bitmap(needles: DataFrame, bits: int) -> np.ndarray:
-    """The two bits of each needle, set in a bitmap; at most ``bits / 8`` bytes reach the driver."""
+    """Two bits of each needle and two of its prefix; at most ``bits / 8`` bytes reach the driver."""
 
     @F.pandas_udf("array<bigint>")
-    def both_bits(texts: pd.Series) -> pd.Series:
-        both = _bit_positions(_hash_texts([t.encode("utf-8") for t in texts]), bits)
-        return pd.Series((np.stack(both, axis=1).astype(np.int64) + 1).tolist())
+    def own_bits(texts: pd.Series) -> pd.Series:
+        whole = [t.encode("utf-8") for t in texts]
+        starts = [t[: _prefix_size(len(t))] for t in whole]
+        four = [*_bit_positions(_hash_texts(whole), bits), *_bit_positions(_hash_texts(starts), bits)]
+        return pd.Series((np.stack(four, axis=1).astype(np.int64) + 1).tolist())
 
     rows = (
-        needles.select(F.explode(both_bits("needle")).alias("bit"))
+        needles.select(F.explode(own_bits("needle")).alias("bit"))
         .groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
         .collect()
@@ -112,14 +122,21 @@ def needle_hits(needles: DataFrame, texts: DataFrame, key: str, text: str) -> Da
     bits = min(MAX_BITS, max(MIN_BITS, 1 << (total * BITS_PER_NEEDLE - 1).bit_length()))
     shared = spark.sparkContext.broadcast(_needle_bitmap(needles, bits))
     longest = lengths[-1]
+    by_prefix = {}
+    for length in lengths:
+        by_prefix.setdefault(_prefix_size(length), []).append(length)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bitmap = shared.value
         powers = _powers(_BASE, BLOCK_BYTES + longest)
         scale = _powers(_INVERSE, BLOCK_BYTES + longest)
 
-        def hit(positions: np.ndarray) -> np.ndarray:
-            return (bitmap[positions >> np.uint64(3)] >> (positions & np.uint64(7)).astype(np.uint8)) & 1
+        def passing(h: np.ndarray) -> np.ndarray:
+            """Indexes of the hashes whose two bits are both set."""
+            first, second = _bit_positions(h, bits)
+            at = np.nonzero(bitmap[first >> np.uint64(3)] >> (first & np.uint64(7)).astype(np.uint8) & 1)[0]
+            second = second[at]
+            return at[bitmap[second >> np.uint64(3)] >> (second & np.uint64(7)).astype(np.uint8) & 1 == 1]
 
         for batch in batches:
             encoded = [t.encode("utf-8") if t is not None else b"" for t in batch[text]]
@@ -130,19 +147,20 @@ def needle_hits(needles: DataFrame, texts: DataFrame, key: str, text: str) -> Da
             for start in range(0, len(data), BLOCK_BYTES):
                 block = data[start : start + BLOCK_BYTES + longest - 1]
                 sums = _prefix_sums(block, powers)
-                for length in lengths:
-                    if length > len(block):
-                        break
-                    h = _window_hashes(block, sums, scale, length)[:BLOCK_BYTES]
-                    first, second = _bit_positions(h, bits)
-                    at = np.nonzero(hit(first))[0]
-                    at = at[hit(second[at]) == 1] + start
-                    # a window must lie within one document
-                    owner = np.searchsorted(ends, at, side="right")
-                    inside = at + length <= ends[owner]
-                    found.update(
-                        (int(d), stream[p : p + length]) for d, p in zip(owner[inside], at[inside])
-                    )
+                for prefix, members in by_prefix.items():
+                    if prefix > len(block):
+                        continue
+                    starts = passing(_window_hashes(block, sums, scale, prefix)[:BLOCK_BYTES])
+                    for length in members:
+                        at = starts[starts + length <= len(block)]
+                        spans = (sums[at + length] - sums[at]) * scale[at] + np.uint64(length)
+                        at = at[passing(_mix(spans))] + start
+                        # a window must lie within one document
+                        owner = np.searchsorted(ends, at, side="right")
+                        inside = at + length <= ends[owner]
+                        found.update(
+                            (int(d), stream[p : p + length]) for d, p in zip(owner[inside], at[inside])
+                        )
             keys = batch[key].to_numpy()
             rows = [(keys[d], w) for d, raw in found if (w := _whole_text(raw)) is not None]
             if rows:

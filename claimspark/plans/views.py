@@ -211,8 +211,22 @@ def _for_engine(sql: str, engine: str) -> str:
     return sql
 
 
+_plans: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, or a view over them, as a DataFrame. Nothing runs yet."""
+    """A driver table, or a view over them, as a DataFrame. Nothing runs yet.
+
+    The plan (never the data) is kept per application, so a job that names a view several
+    times holds equal subtrees, whose exchanges Spark can share.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _plans:
+        _plans[key] = _plan(spark, sf_dir, name)
+    return _plans[key]
+
+
+def _plan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         return read_table(spark, f"{sf_dir}/{name}.parquet")
     sql = _for_engine(VIEWS[name], "spark")

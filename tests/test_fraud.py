@@ -45,6 +45,18 @@ def test_windows_across_blocks_and_documents(spark, monkeypatch):
     assert set(found(spark, needles, texts, slices=1)) == brute_hits(needles, texts)
 
 
+def test_needles_of_all_lengths_cut_from_the_texts(spark):
+    random.seed(9)
+    texts = [(f"d{i}", "".join(random.choices("abcé ", k=150))) for i in range(40)]
+    needles = set()
+    for length in range(1, 130):
+        _, text = random.choice(texts)
+        at = random.randrange(len(text) - length + 1)
+        needles |= {text[at : at + length], text[at : at + length - 1] + "z"}
+    got = set(found(spark, needles, texts))
+    assert got == brute_hits(needles, texts) and any(len(n) > 100 for _, n in got)
+
+
 def test_a_full_bitmap_only_costs_work(spark, monkeypatch):
     """With a bitmap far too small nearly every window passes; the answer stays exact."""
     monkeypatch.setattr(matching, "MIN_BITS", matching.BUCKET_BITS)
