@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspark.llm import sharding
+from claimspark.llm import mixing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_golden_mix": mixing.op2_golden_mix,
     "op9_minimax_shards": sharding.op9_minimax_shards,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_golden_mix": mixing.SQL,
     "op9_minimax_shards": sharding.SQL,
 }
