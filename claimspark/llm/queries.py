@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspark.llm import mixing, sharding, tokens
+from claimspark.llm import langid, mixing, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_golden_mix": mixing.op2_golden_mix,
     "op3_token_counts": tokens.op3_token_counts,
     "op9_minimax_shards": sharding.op9_minimax_shards,
+    "op10_byte_cnn_lang": langid.op10_byte_cnn_lang,
 }
 
 ORACLES: dict[str, str] = {
