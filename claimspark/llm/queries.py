@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspark.llm import langid, mixing, sharding, tokens
+from claimspark.llm import langid, mixing, sharding, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_host_reputation": urls.op1_host_reputation,
     "op2_golden_mix": mixing.op2_golden_mix,
     "op3_token_counts": tokens.op3_token_counts,
     "op9_minimax_shards": sharding.op9_minimax_shards,
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_host_reputation": urls.SQL,
     "op2_golden_mix": mixing.SQL,
     "op9_minimax_shards": sharding.SQL,
 }
