@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspark.llm import decontaminate, langid, minhash, mixing, sharding, tokens, urls
+from claimspark.llm import ann, decontaminate, langid, minhash, mixing, sharding, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_reputation": urls.op1_host_reputation,
     "op2_golden_mix": mixing.op2_golden_mix,
     "op3_token_counts": tokens.op3_token_counts,
+    "op5_adaptive_scan": ann.op5_adaptive_scan,
     "op7_hyperminhash": minhash.op7_hyperminhash,
     "op8_prefix_leaks": decontaminate.op8_prefix_leaks,
     "op9_minimax_shards": sharding.op9_minimax_shards,
