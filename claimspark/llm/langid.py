@@ -155,43 +155,52 @@ def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG, most: int = SAMP
     return net
 
 
-def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
-    """Add ``lang_pred`` and ``score`` (the mean probability) to rows with a ``text``.
+def predict(docs: DataFrame, net: ByteNet | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add the predicted language and its mean probability to rows with a ``text``.
 
     NULL text, text without a letter, and any text where nothing was learned: ``und`` with score 0.
-    Every window of a long text counts alike. Columns of the same names are replaced.
+    Every window of a long text counts alike. Repeated rows are judged alike, an empty table gives no rows.
+    Other columns are carried; those that have the new ``names`` are replaced.
     """
-    schema = docs.drop("lang_pred", "score").schema
+    docs = docs.drop(*names)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             texts = batch.column("text").to_pylist()
             known = [net is not None and t is not None and any(map(str.isalpha, t)) for t in texts]
             windows = [windows_of(t.encode()) for t, ok in zip(texts, known) if ok]
-            names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             if windows:
                 p = net.probabilities(np.concatenate(windows)).astype(np.float64)
                 first = np.cumsum([0, *map(len, windows)])
                 means = np.add.reduceat(p, first[:-1], axis=0) / np.diff(first)[:, None]
                 best = means.argmax(axis=1)
                 for k, i in enumerate(i for i, ok in enumerate(known) if ok):
-                    names[i], scores[i] = net.labels[best[k]], min(1.0, float(means[k, best[k]]))
+                    langs[i], scores[i] = net.labels[best[k]], min(1.0, float(means[k, best[k]]))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                [*batch.schema.names, "lang_pred", "score"],
+                [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, *names]
             )
 
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "lang_pred string", "score double"])
-    return docs.drop("lang_pred", "score").mapInArrow(apply, out)
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
+    return docs.mapInArrow(apply, f"{kept}`{names[0]}` string, `{names[1]}` double")
 
 
 def held_out(doc_id: Column) -> Column:
     return fold_of(doc_id, 5) == 0
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """Learn from the labelled rows outside the held-out fold, then judge every row of ``docs``."""
-    return predict(docs, train(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")))
+def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
+    """The rows of ``docs`` whose language is told with a score of ``least`` or more.
+
+    The network is fitted on the labelled rows outside the held-out fold. NULL texts and texts without a letter go.
+    Where nothing is labelled no language is told, and every text with a letter stays. All columns are carried.
+    """
+    net = train(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    if net is None:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    names = ("_told_lang", "_told_score")
+    judged = predict(docs, net, names)
+    return judged.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).drop(*names)
 
 
 def op10_byte_cnn_lang(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import n_words, table
+from claimspark.llm.common import N_WORDS_PATTERN, n_words, table
 from claimspark.session import materialise
 
 BLOCK_WORDS = 64
@@ -135,45 +135,69 @@ class Mix:
         )
 
 
+def sized_documents(docs: DataFrame) -> DataFrame:
+    """``doc_id, source, size`` of ``docs``: what the mix is planned from."""
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+
+
 def mix(
-    docs: DataFrame,
+    sized: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
     share: float = 1.5,
     most: int = 2,
     block: int = BLOCK_WORDS,
 ) -> Mix:
-    """Mix the sources of ``docs`` (``doc_id, text, source``) to ``share`` times all words.
+    """Mix the sources of documents given as ``doc_id, source, size`` to ``share`` times all words.
 
-    ``pieces``: ``slot, doc_id, first_word, n`` (and the stream's key), words ``first_word`` on of
-    a document at a place of the mix. A source's words come within a few blocks of its target; no
-    document is taken more than ``most`` times over. A NULL or empty text has size 0 and is never
-    taken; NULL source is a source; repeated rows are documents of their own. An empty table gives
-    no rows. Other columns are not read.
+    ``pieces``: ``slot, doc_id, pass, first_word, n`` (and the stream's key): at a place of the mix, so many
+    words of a document from ``first_word`` on. A source's words come within a few blocks of its target; no
+    document is taken more than ``most`` times over. A document of size 0 is never taken; NULL source is a
+    source; repeated rows are documents of their own. An empty table gives no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
-    sized = materialise(
-        docs.select("doc_id", "source", _named(F.col("source")).alias("_source"), n_words(F.col("text")).alias("size")),
-        "mix-sized",
-    )
+    spark = sized.sparkSession
+    sized = materialise(sized.select("doc_id", "source", _named(F.col("source")).alias("_source"), "size"), "mix-sized")
     targets = materialise(source_targets(sized, weights, share, most), "mix-targets")
     total = targets.agg(F.max("_total")).first()[0] or 0
     slots = schedule(spark, targets, round(total * share / block))
     stream = materialise(shuffled_stream(sized, targets), "mix-stream")
-    begins = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("_pass")
+    passes = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("pass")
     parts = (
-        stream.where("size > 0").select("doc_id", "_source", "start", "size", "source_size", begins)
-        .withColumn("_from", F.col("_pass") * F.col("source_size") + F.col("start"))
+        stream.where("size > 0").select("doc_id", "_source", "start", "size", "source_size", passes)
+        .withColumn("_from", F.col("pass") * F.col("source_size") + F.col("start"))
         .withColumn("_end", F.col("_from") + F.col("size"))
         .withColumn("block", F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_end") - 1) / block))))
         .withColumn("_at", F.greatest("_from", F.col("block") * block))
         .withColumn("n", F.least("_end", (F.col("block") + 1) * block) - F.col("_at"))
-        .select("_source", "block", "doc_id", "start", (F.col("_at") - F.col("_from")).alias("first_word"), "n")
+        .select("_source", "block", "doc_id", "start", "pass", (F.col("_at") - F.col("_from")).alias("first_word"), "n")
     )
     return Mix(stream, slots.join(parts, ["_source", "block"]))
 
 
+def take_mix(docs: DataFrame, key: Column, **how) -> DataFrame:
+    """The documents that the mix takes, once for each pass, with all their columns.
+
+    ``key`` tells documents apart; rows of one key are one document, and its first row is taken. A document that
+    the mix takes in part is cut to the words taken; ``n_chars`` follows the cut text where there is such a column.
+    """
+    plain = docs.withColumn("_key", key)
+    sized = plain.select(F.col("_key").alias("doc_id"), "source", n_words(F.col("text")).alias("size")).dropDuplicates(["doc_id"])
+    plan = mix(sized, **how).pieces.groupBy(F.col("doc_id").alias("_key"), "pass").agg(
+        F.min("first_word").alias("_first"), F.sum("n").alias("_n")
+    ).withColumnRenamed("pass", "_pass")
+    first = F.row_number().over(Window.partitionBy("_key", "_pass").orderBy("_key"))
+    taken = plain.join(plan, "_key").withColumn("_row", first).where("_row = 1")
+    words = F.regexp_extract_all("text", F.lit(f"({N_WORDS_PATTERN})"), F.lit(1))
+    part = F.array_join(F.slice(words, (F.col("_first") + 1).cast("int"), F.col("_n").cast("int")), " ")
+    whole = F.col("_n") >= n_words(F.col("text"))
+    cut = taken.withColumn("_whole", whole).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(part))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        cut = cut.withColumn("n_chars", F.when(F.col("_whole"), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    return cut.select(*[f"`{c}`" for c in docs.columns])
+
+
 def op2_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
+    return mix(sized_documents(table(spark, sf_dir, "documents"))).taken().select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = f"""
