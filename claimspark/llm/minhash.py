@@ -8,13 +8,13 @@ by chance, and what the estimate does not rule out is verified on the full sets.
 Texts with equal sets are one class from the start, so copies cost nothing further. Links are found in
 two rounds. The first compares members of a band's bucket in chunks and verifies for each only its most
 likely partner, which joins nearly all of a group whatever its size. The second compares, over whole
-buckets, only members that are still in different components. So no pair that matters is left out,
-and a large group is not compared pair by pair.
+buckets, only members that are still in different components, and verifies where it compares. So no pair
+that matters is left out, and neither round makes a row for each pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -150,39 +150,39 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "registers").mapInArrow(keys, "key bigint, rep bigint")
 
 
-def _compare(groups: DataFrame, forest: bool) -> DataFrame:
-    """``a, b``: pairs within each ``(key, part)`` that the estimate does not rule out.
+class Group:
+    """Members of a bucket, or of a part of one, with their registers."""
 
-    ``forest``: each member only with its likeliest earlier partner. Else all pairs of a ``minor``
-    member with one of another component. A group holds about two chunks.
-    """
-    least = least_estimate()
+    def __init__(self, rows: list[pa.RecordBatch]) -> None:
+        self.rows = pa.Table.from_batches(rows).sort_by("rep")
+        self.reps, self.n = self.rows["rep"].to_numpy(), self.rows["n_shingles"].to_numpy()
+        self.registers = np.frombuffer(b"".join(self.rows["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        self.keys = band_keys(self.registers).view(np.int64)
+        self.band = int(np.flatnonzero(self.keys[0] == self.rows["key"][0].as_py())[0])
+
+    def partners(self, i: int, other: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Those of ``other`` that neither size nor estimate rules out, and their estimates."""
+        n = self.n
+        other = other[100 * np.minimum(n[other], n[i]) >= SIMILARITY * np.maximum(n[other], n[i])]
+        like = estimate((self.registers[other] == self.registers[i]).mean(axis=1), n[other], np.full(len(other), n[i]))
+        return other[like >= least], like[like >= least]
+
+    def apart(self, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each minor member with its possible partners in other components.
+
+        A pair that shares several bands is looked at in the first of them only.
+        """
+        part = self.rows["component"].to_numpy()
+        for i in np.flatnonzero(self.rows["minor"].to_numpy()).tolist():
+            other = np.flatnonzero(part != part[i])
+            other = other[(self.keys[other] == self.keys[i]).argmax(axis=1) == self.band]
+            other, like = self.partners(i, other, least)
+            if len(other):
+                yield i, other, like
 
-    def pairs_of(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        group = pa.Table.from_batches(rows).sort_by("rep")
-        reps, n = group["rep"].to_numpy(), group["n_shingles"].to_numpy()
-        regs = np.frombuffer(b"".join(group["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        part = group["component"].to_numpy()
-        left = np.arange(len(reps)) if forest else np.flatnonzero(group["minor"].to_numpy(zero_copy_only=False))
-        a, b = [], []
-        for i in left.tolist():
-            other = np.arange(i) if forest else np.flatnonzero(part != part[i])
-            other = other[100 * np.minimum(n[other], n[i]) >= SIMILARITY * np.maximum(n[other], n[i])]
-            if not len(other):
-                continue
-            equal = (regs[other] == regs[i]).mean(axis=1)
-            like = estimate(equal, n[other], np.full(len(other), n[i]))
-            fits = like >= least
-            if forest:
-                best = int(np.argmax(like))
-                chosen = other[best : best + 1] if fits[best] else other[:0]
-            else:
-                chosen = other[fits]
-            a.append(np.minimum(reps[chosen], reps[i]))
-            b.append(np.maximum(reps[chosen], reps[i]))
-        if not a:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+def _in_groups(rows: DataFrame, work: Callable[[Group], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """Apply ``work`` to each ``(key, part)``; a group holds a chunk or two."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, name = [], None
@@ -193,16 +193,73 @@ def _compare(groups: DataFrame, forest: bool) -> DataFrame:
             starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
             for s, e in zip(starts[:-1], starts[1:]):
                 if tuple(keys[s]) != name and held:
-                    if (found := pairs_of(held)) is not None:
+                    if (found := work(Group(held))) is not None:
                         yield found
                     held = []
                 name = tuple(keys[s])
                 held.append(batch.slice(s, e - s))
-        if held and (found := pairs_of(held)) is not None:
+        if held and (found := work(Group(held))) is not None:
             yield found
 
-    dealt = groups.repartition("key", "part").sortWithinPartitions("key", "part")
-    return dealt.mapInArrow(scan, "a bigint, b bigint").distinct()
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(scan, schema)
+
+
+def _likeliest(groups: DataFrame) -> DataFrame:
+    """``a, b``: each member of a group with its likeliest earlier partner."""
+    least = least_estimate()
+
+    def work(group: Group) -> pa.RecordBatch:
+        a, b = [], []
+        for i in range(1, len(group.reps)):
+            other, like = group.partners(i, np.arange(i), least)
+            if len(other):
+                a.append(group.reps[other[np.argmax(like)]])
+                b.append(group.reps[i])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return _in_groups(groups, work, "a bigint, b bigint").distinct()
+
+
+def _undecided(groups: DataFrame) -> DataFrame:
+    """``key, part, rep``: members with a possible partner in another component."""
+    least = least_estimate()
+
+    def work(group: Group) -> pa.RecordBatch:
+        some = np.zeros(len(group.reps), dtype=bool)
+        for i, other, _ in group.apart(least):
+            some[i] = True
+            some[other] = True
+        return group.rows.select(["key", "part", "rep"]).filter(pa.array(some)).combine_chunks().to_batches()[0] if some.any() else None
+
+    return _in_groups(groups, work, "key bigint, part bigint, rep bigint").distinct()
+
+
+def _decided(groups: DataFrame) -> DataFrame:
+    """``a, b``: verified links between components, one for each minor member and component."""
+    least = least_estimate()
+
+    def work(group: Group) -> pa.RecordBatch:
+        sets = shingle_sets(group.rows["text"].cast(pa.binary()).to_pylist())
+        part, a, b = group.rows["component"].to_numpy(), [], []
+        for i, other, like in group.apart(least):
+            linked = set()
+            for j in other[np.argsort(-like, kind="stable")].tolist():
+                if part[j] not in linked and similar(sets[i], sets[j]):
+                    linked.add(part[j])
+                    a.append(group.reps[i])
+                    b.append(group.reps[j])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return _in_groups(groups, work, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two full sets are as similar as asked."""
+    if not len(x) or 100 * min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    common = int((y[at] == x).sum())
+    return 100 * common >= SIMILARITY * (len(x) + len(y) - common)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -211,9 +268,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(slices(batches, "text_a"), "text_b"):
             first, second = (shingle_sets(batch.column(c).cast(pa.binary()).to_pylist()) for c in ("text_a", "text_b"))
-            common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(first, second)])
-            union = np.array([len(x) + len(y) for x, y in zip(first, second)]) - common
-            linked = pa.array((100 * common >= SIMILARITY * union) & (union > 0))
+            linked = pa.array([similar(x, y) for x, y in zip(first, second)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(linked)
 
     one = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
@@ -229,12 +284,11 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         bands.join(shared, "key").join(classes.select("rep", "n_shingles", "registers"), "rep"), "minhash-members"
     )
     chunks = F.ceil(F.col("members") / CHUNK)
-    first = members.withColumn("part", F.pmod(F.xxhash64("rep", "key"), chunks)).withColumn("component", F.lit(0).cast("bigint"))
-    likely = materialise(_compare(first.withColumn("minor", F.lit(True)), forest=True), "minhash-likely")
+    likely = materialise(_likeliest(members.withColumn("part", F.pmod(F.xxhash64("rep", "key"), chunks))), "minhash-likely")
     ends = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     # whoever has any partner at all has a likeliest one, so these are all texts that either round needs
     texts = materialise(
-        docs.join(ends, F.col("doc_id") == F.col("rep")).select("rep", "text").dropDuplicates(["rep"]), "minhash-texts"
+        docs.hint("merge").join(ends, F.col("doc_id") == F.col("rep")).select("rep", "text").dropDuplicates(["rep"]), "minhash-texts"
     )
     links = materialise(_verified(likely, texts), "minhash-links")
     known = connected_components(links)
@@ -244,21 +298,23 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     sizes = tried.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = (
         sizes.groupBy("key")
-        .agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components"))
-        .where("components > 1")
+        .agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
+        .where("all > most")
     )
     rows = tried.join(mixed, "key").withColumn("minor", F.col("component") != F.col("main"))
     lots, wholes = F.ceil((F.col("all") - F.col("most")) / CHUNK), F.ceil(F.col("all") / CHUNK)
-    # a group is one chunk of minor members against one chunk of all members
-    as_minor = rows.where("minor").withColumn("lot", F.pmod(F.xxhash64("rep"), lots)).withColumn("whole", F.explode(F.sequence(F.lit(0), wholes - 1)))
-    as_other = (
-        rows.withColumn("minor", F.lit(False)).withColumn("whole", F.pmod(F.xxhash64("rep"), wholes))
-        .withColumn("lot", F.explode(F.sequence(F.lit(0), lots - 1)))
+    lot_of, whole_of = F.pmod(F.xxhash64("rep"), lots), F.pmod(F.xxhash64("rep"), wholes)
+    # a group is one chunk of the minor members against one chunk of the whole bucket
+    asking = rows.where("minor").withColumn("lot", lot_of).withColumn("whole", F.explode(F.sequence(F.lit(0), wholes - 1)))
+    others = rows.withColumn("minor", F.lit(False)).withColumn("whole", whole_of).withColumn("lot", F.explode(F.sequence(F.lit(0), lots - 1)))
+    # where a minor member is in both chunks, it is there once, and asks
+    others = others.where(~((F.col("component") != F.col("main")) & (F.col("lot") == lot_of)))
+    needed = ["key", "part", "rep", "n_shingles", "registers", "component", "minor"]
+    groups = materialise(
+        asking.unionByName(others).withColumn("part", F.col("lot") * wholes + F.col("whole")).select(*needed), "minhash-groups"
     )
-    again = as_minor.unionByName(as_other).withColumn("part", F.col("lot") * wholes + F.col("whole"))
-    rest = _compare(again.select("key", "part", "rep", "n_shingles", "registers", "component", "minor"), forest=False)
-    more = _verified(rest.join(likely, ["a", "b"], "left_anti"), texts)
-    return links.unionByName(materialise(more, "minhash-more"))
+    undecided = groups.join(_undecided(groups), ["key", "part", "rep"]).join(texts, "rep").select(*needed, "text")
+    return links.unionByName(materialise(_decided(undecided).distinct(), "minhash-more"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
