@@ -130,12 +130,16 @@ def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG, most: int = SAMP
     The sample is bounded: ``per_lang`` rows a language and ``most`` in all, chosen by a hash of
     the id, of each ``PARTS`` places of a window's length. None where nothing is labelled.
     """
+    usable = labelled.where("text is not null and lang is not null").withColumn("draw", F.xxhash64("doc_id"))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))     # a row for each language
+    # about twice as many as are kept, so that what is sorted does not grow with the corpus
+    drawn = (F.shiftrightunsigned("draw", 11) / float(1 << 53)) * F.col("rows") < 2.0 * per_lang
     whole = F.length("text")
     starts = [F.greatest(F.lit(1), (whole * k / PARTS).cast("int") + 1) for k in range(PARTS)]
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "parts")
+    turn = Window.partitionBy("lang").orderBy("draw", "parts")
     sample = (
-        labelled.where("text is not null and lang is not null")
-        .select("lang", "doc_id", F.array(*[F.substring("text", s, F.lit(WINDOW)) for s in starts]).alias("parts"))
+        usable.join(F.broadcast(counts), "lang").where(drawn)
+        .select("lang", "draw", F.array(*[F.substring("text", s, F.lit(WINDOW)) for s in starts]).alias("parts"))
         .withColumn("turn", F.row_number().over(turn))
         .where(F.col("turn") <= per_lang)
         .orderBy("turn", "lang")
