@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspark.llm import ann, decontaminate, langid, minhash, mixing, sharding, tokens, urls
+from claimspark.llm import ann, decontaminate, langid, lm, minhash, mixing, sharding, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_reputation": urls.op1_host_reputation,
     "op2_golden_mix": mixing.op2_golden_mix,
     "op3_token_counts": tokens.op3_token_counts,
     "op5_adaptive_scan": ann.op5_adaptive_scan,
+    "op6_kneser_ney": lm.op6_kneser_ney,
     "op7_hyperminhash": minhash.op7_hyperminhash,
     "op8_prefix_leaks": decontaminate.op8_prefix_leaks,
     "op9_minimax_shards": sharding.op9_minimax_shards,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_host_reputation": urls.SQL,
     "op2_golden_mix": mixing.SQL,
+    "op6_kneser_ney": lm.SQL,
     "op7_hyperminhash": minhash.SQL,
     "op8_prefix_leaks": decontaminate.SQL,
     "op9_minimax_shards": sharding.SQL,
