@@ -59,7 +59,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the odd base and of its inverse modulo 2^64, at least ``n`` of each."""
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
         size = max(n, SLICE_BYTES + (SLICE_BYTES >> 1))
@@ -73,7 +73,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """``S`` such that ``span_hash(S, a, b)`` identifies the bytes ``data[a:b]``."""
-    up, _ = _powers(len(data) + 1)
+    up, _ = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_CODES[data] * up[: len(data)], dtype=np.uint64, out=sums[1:])
     return sums
@@ -81,7 +81,7 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte span; equal spans hash alike wherever they stand."""
-    _, down = _powers(len(sums))
+    _, down = powers(len(sums))
     return mix((sums[end] - sums[start]) * down[start])
 
 

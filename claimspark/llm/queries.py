@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspark.llm import ann, decontaminate, langid, lm, minhash, mixing, sharding, tokens, urls
+from claimspark.llm import ann, decontaminate, langid, lm, minhash, mixing, sharding, suffixes, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_reputation": urls.op1_host_reputation,
     "op2_golden_mix": mixing.op2_golden_mix,
     "op3_token_counts": tokens.op3_token_counts,
+    "op4_prefix_free_repeats": suffixes.op4_prefix_free_repeats,
     "op5_adaptive_scan": ann.op5_adaptive_scan,
     "op6_kneser_ney": lm.op6_kneser_ney,
     "op7_hyperminhash": minhash.op7_hyperminhash,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_host_reputation": urls.SQL,
     "op2_golden_mix": mixing.SQL,
+    "op4_prefix_free_repeats": suffixes.SQL,
     "op6_kneser_ney": lm.SQL,
     "op7_hyperminhash": minhash.SQL,
     "op8_prefix_leaks": decontaminate.SQL,
