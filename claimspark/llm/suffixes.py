@@ -370,11 +370,15 @@ def op4_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), k AS (
+  SELECT r, doc_id, h, unnest(range(0, len(h) // 2, 512)) AS k FROM d
+), q AS (
+  SELECT r, doc_id, k, substr(h, 2 * k + 1, 2 * {511 + LENGTH}) AS h FROM k
 ), p AS (
-  SELECT r, doc_id, h, unnest(range(0, len(h) // 2)) AS i FROM d
+  SELECT *, unnest(range(0, least(512, len(h) // 2))) AS j FROM q
 ), s AS (
-  SELECT r, doc_id, i, substr(h, 2 * i + 1, 2) AS b,
-         CASE WHEN 2 * (i + {LENGTH}) <= len(h) THEN substr(h, 2 * i + 1, {2 * LENGTH}) END AS s
+  SELECT r, doc_id, k + j AS i, substr(h, 2 * j + 1, 2) AS b,
+         CASE WHEN 2 * (j + {LENGTH}) <= len(h) THEN substr(h, 2 * j + 1, {2 * LENGTH}) END AS s
   FROM p
 ), f AS (
   SELECT s, min(coalesce(doc_id, {LAST})) AS first_id FROM s WHERE s IS NOT NULL GROUP BY s
