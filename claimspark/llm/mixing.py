@@ -20,7 +20,7 @@ BLOCK_WORDS = 64
 POINTS = 1 << 31               # resolution of the unit interval
 GOLDEN = 1327217885            # the odd number next to POINTS / golden ratio
 CHUNK = 1 << 16                # slots ranked in one task
-ROWS_PER_BUCKET = 50_000       # stream rows summed up in one task
+ROWS_PER_BUCKET = 2_000        # stream rows summed up together
 CELL_BITS = 19                 # the interval is cut in POINTS >> CELL_BITS cells to find a point's source
 
 
