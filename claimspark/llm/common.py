@@ -108,6 +108,7 @@ def words_of(texts: list[bytes | None], inside: np.ndarray = NOT_SPACE) -> Words
 
 def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of ``n`` neighbouring words (``len - n + 1`` of them)."""
+    n = int(n)
     m = len(hashes) - n + 1
     if m <= 0:
         return np.zeros(0, dtype=np.uint64)

@@ -193,7 +193,7 @@ def held_out(doc_id: Column) -> Column:
     return fold_of(doc_id, 5) == 0
 
 
-def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose language is told with a score of ``least`` or more.
 
     The network is fitted on the labelled rows outside the held-out fold. NULL texts and texts without a letter go.
