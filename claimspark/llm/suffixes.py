@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark.llm.arrays import in_buckets, look_up, mapped, packed, store, unpacked
-from claimspark.llm.common import SLICE_BYTES, powers, prefix_sums, slices, span_hash, table
+from claimspark.llm.common import SLICE_BYTES, mix, powers, prefix_sums, slices, span_hash, table
 from claimspark.session import fresh_path
 
 LENGTH = 50                # bytes of a string
@@ -37,7 +37,7 @@ LAST = (1 << 63) - 1       # the place of texts without an id
 class Phrases(NamedTuple):
     """Phrases of some texts: strings ``first`` to ``last`` of text ``text`` share the trigger at ``gram``."""
 
-    trigger: np.ndarray    # hash of the trigger
+    trigger: np.ndarray    # hash of the trigger, spread anew, as triggers have small hashes
     text: np.ndarray
     first: np.ndarray      # starts of strings, as bytes of the text
     last: np.ndarray
@@ -79,7 +79,7 @@ def parse(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Phrases
     text = np.searchsorted(bounds, first, "right") - 1
     name = span_hash(sums, first, stop + length) * np.uint64(2 * length + 1) + (at - first).astype(np.uint64)
     base = bounds[text]
-    return Phrases(hashes[at], text, first - base, stop - base, at - base, name)
+    return Phrases(mix(hashes[at]), text, first - base, stop - base, at - base, name)
 
 
 def suffix_order(phrases: np.ndarray, strings: np.ndarray, text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
