@@ -7,10 +7,11 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 
+from claimspark.llm.common import process_cache
+
 
 def packed(*arrays: np.ndarray) -> bytes:
     import zstandard
@@ -47,9 +48,21 @@ def store(uri: str, name: str, values: np.ndarray) -> None:
     system.move(part, f"{path}/{name}.npy")
 
 
-@lru_cache(maxsize=8192)
+MOST_MAPPED = 8192     # arrays that a worker keeps mapped
+
+
 def mapped(uri: str, name: str) -> np.ndarray | None:
-    """An array of the shared folder, mapped into memory; from a store that cannot be mapped, by a nameless copy."""
+    """An array of the shared folder, mapped into memory; None if it was never written."""
+    known = process_cache("arrays")
+    if (uri, name) not in known:
+        if len(known) >= MOST_MAPPED:
+            known.clear()
+        known[uri, name] = _map(uri, name)
+    return known[uri, name]
+
+
+def _map(uri: str, name: str) -> np.ndarray | None:
+    """Map a file, or a nameless copy of it where the store is none that can be mapped."""
     from pyarrow import fs
 
     system, path = _filesystem(uri)

@@ -6,6 +6,7 @@ agree without any shared state.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,7 +21,6 @@ _SEED = 20240229
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(_SEED)
 _CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: dict[str, np.ndarray] = {}
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -39,6 +39,15 @@ ALNUM = char_class([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 N_WORDS_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+def process_cache(name: str) -> dict:
+    """A dictionary that lasts as long as this Python process.
+
+    The package's functions travel to workers with their code and globals, so a global of a module would be
+    sent along with each of them and forgotten with each task.
+    """
+    return sys.__dict__.setdefault("_claimspark_cache", {}).setdefault(name, {})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,14 +70,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the odd base and of its inverse modulo 2^64, at least ``n`` of each."""
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
+    known = process_cache("powers")
+    if "up" not in known or len(known["up"]) < n:
         size = max(n, SLICE_BYTES + (SLICE_BYTES >> 1))
         inverse = np.uint64(pow(int(_BASE), -1, 2**64))
         for name, base in (("up", _BASE), ("down", inverse)):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+            known[name] = np.cumprod(steps, dtype=np.uint64)
+    return known["up"], known["down"]
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:

@@ -10,13 +10,12 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import slices, table
+from claimspark.llm.common import process_cache, slices, table
 
 BATCH_BYTES = 1 << 20      # text encoded in one call
 KNOWN_PIECES = 300_000     # lengths that a worker remembers, some 50 MB
@@ -83,10 +82,13 @@ class Encoder:
         ]
 
 
-@lru_cache(maxsize=1)
 def encoder_for(path: str) -> Encoder:
     """The worker's encoder; it stays loaded from task to task."""
-    return Encoder(path)
+    known = process_cache("encoders")
+    if path not in known:
+        known.clear()
+        known[path] = Encoder(path)
+    return known[path]
 
 
 def _byte_level(model) -> bool:
