@@ -34,6 +34,8 @@ STATUS_INVALID = "extraction_failed"
 STATUS_FAILED = "pipeline_failure"
 MSG_FAILED = "An unexpected pipeline execution error occurred"
 MSG_NO_KEY = "Missing document key in event"
+MSG_NO_TEXT = "The document is an image and has no text"
+MSG_AMOUNT_CHANGED = "claim_amount cannot be stored as stated: "
 
 # Fraud points, cap and reason texts.
 CLAIMANT_POINTS = 45
@@ -53,14 +55,10 @@ EMBED_CHARS = 8000
 POLICY_PREFIXES = {"AUTO": "auto", "PROP": "property", "HLTH": "health"}
 
 # Token estimate bases (input, output) and USD per 1000 tokens (input, output).
-TOKEN_BASES = {"small": (248, 118), "large": (248, 145)}
-DEFAULT_TOKEN_BASE = (250, 130)
 TOKEN_PRICES = {"small": (0.00025, 0.00125), "large": (0.003, 0.015)}
 CHARS_PER_TOKEN = 4
 
 # Flat cost shown per claim.
-FLAT_COST_AUTO = 0.00048
-FLAT_COST_OTHER = 0.00050
 
 # Prompt texts.
 EXTRACT_SYSTEM = (

@@ -82,15 +82,18 @@ def words(col: Column) -> Column:
 
 
 def format_inr(amount: Column) -> Column:
-    """Indian digit grouping (``1,45,000``) with up to three decimals, zeros dropped."""
-    plain = F.round(amount.cast("decimal(35,6)"), 3).cast("decimal(32,3)").cast("string")
+    """Indian digit grouping (``1,45,000``) with up to three decimals, zeros dropped.
+
+    An amount too large for that, or not finite, is shown as it is.
+    """
+    plain = F.round(amount.try_cast("decimal(35,6)"), 3).try_cast("decimal(32,3)").cast("string")
     whole = F.regexp_replace(
         F.substring_index(plain, ".", 1), r"(?<=\d)(?=(\d\d)*\d{3}$)", ","
     )
     tail = F.regexp_replace(F.concat(F.lit("."), F.substring_index(plain, ".", -1)), r"\.?0+$", "")
-    return F.concat(whole, tail)
+    return F.coalesce(F.concat(whole, tail), amount.cast("string"))
 
 
-def estimated_tokens(prompt: Column, base: Column | int) -> Column:
-    base = base if isinstance(base, Column) else F.lit(base)
-    return (base + F.floor(F.length(prompt) / F.lit(C.CHARS_PER_TOKEN))).cast("bigint")
+def estimated_tokens(text: Column, chars_per_token: float = C.CHARS_PER_TOKEN) -> Column:
+    """Length over characters per token, rounded up."""
+    return F.ceil(F.length(text) / F.lit(chars_per_token)).cast("bigint")

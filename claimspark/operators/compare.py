@@ -55,13 +55,16 @@ def _first_try() -> Column:
     return as_answered & ~F.array_contains("errors", C.MSG_NOT_JSON)
 
 
-def model_summary(cmp: DataFrame, prices: Mapping[str, tuple[float, float]] = C.TOKEN_PRICES) -> DataFrame:
-    """Averages per model, and the cost of a thousand documents."""
+def model_summary(
+    cmp: DataFrame, prices: Mapping[str, tuple[float, float]] = C.TOKEN_PRICES, valid_share: bool = False
+) -> DataFrame:
+    """Averages per model, and the cost of a thousand documents; with ``valid_share`` also that share."""
     averages = cmp.groupBy(F.col("model").alias("model_id")).agg(
         F.count(F.lit(1)).alias("documents"),
         F.avg("latency_s").alias("avg_latency_s"),
         F.avg("input_tokens").alias("input_tokens"),
         F.avg("output_tokens").alias("output_tokens"),
+        F.avg(F.coalesce("valid_json", F.lit(False)).cast("int")).alias("valid_share"),
     )
     return estimate_cost(averages, prices).select(
         F.col("model_id").alias("model"),
@@ -70,6 +73,7 @@ def model_summary(cmp: DataFrame, prices: Mapping[str, tuple[float, float]] = C.
         F.col("input_tokens").alias("avg_input_tokens"),
         F.col("output_tokens").alias("avg_output_tokens"),
         (F.col("cost_usd") * 1000).alias("cost_per_1000_usd"),
+        *(["valid_share"] if valid_share else []),
     )
 
 
@@ -86,11 +90,14 @@ def extraction_accuracy(cmp: DataFrame) -> DataFrame:
     )
 
 
-def pick_model(summary: DataFrame, accuracy: DataFrame) -> DataFrame:
-    """The cheapest of the most accurate models; one row, ties by name."""
+def pick_model(summary: DataFrame, accuracy: DataFrame | None = None) -> DataFrame:
+    """The cheapest of the most accurate models; one row, ties by name.
+
+    ``summary`` alone is enough where it has the share of valid answers itself.
+    """
+    both = summary if accuracy is None else summary.join(accuracy.select("model", "valid_share"), "model")
     return (
-        summary.join(accuracy.select("model", "valid_share"), "model")
-        .orderBy(F.desc("valid_share"), "cost_per_1000_usd", "model")
+        both.orderBy(F.desc("valid_share"), "cost_per_1000_usd", "model")
         .limit(1)
         .select("model", "valid_share", "cost_per_1000_usd")
     )

@@ -48,13 +48,14 @@ def evaluate_coverage_rules(
     """Add ``rule_codes`` and ``rule_notes``: the rules a claim triggers, in rule order.
 
     A rule compares the amount, or the days from incident to filing, with its bound. Without
-    a filing date the delay rules do not fire. Every claim is judged on its own row: the range
+    a filing date, or with one that is no date, the delay rules do not fire. Every claim is judged on its own row: the range
     condition needs no join because the rule list is fixed and short.
     """
-    measures = {"amount": F.col(amount).cast("double")}
+    # Spark orders NaN above every number; here it is no amount
+    measures = {"amount": F.nanvl(F.col(amount).try_cast("double"), F.lit(None).cast("double"))}
     if filed_date is not None:
         measures["delay_days"] = F.datediff(
-            F.col(filed_date).cast("date"), F.try_to_timestamp(F.col(incident_date), F.lit("yyyy-MM-dd")).cast("date")
+            F.col(filed_date).try_cast("date"), F.try_to_timestamp(F.col(incident_date), F.lit("yyyy-MM-dd")).cast("date")
         ).cast("double")
     codes, notes = [], []
     for kind, code, measure, comparison, bound, note in rules:

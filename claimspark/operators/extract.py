@@ -26,15 +26,18 @@ def _labelled(text: Column, label: str) -> Column:
     return F.nullif(value, F.lit(""))
 
 
-def extract_fields(df: DataFrame, text: str = "document_text") -> DataFrame:
+def extract_fields(df: DataFrame, text: str = "document_text", amount_text: bool = False) -> DataFrame:
     """Add the six claim fields as stated on the form; NULL for what is not stated.
 
-    The amount loses its currency word and digit commas. The description runs to the next
+    The amount loses its currency word or sign, digit commas and a closing ``/-``; ``amount_text`` adds what is
+    then left of it as ``claim_amount_text``, which tells an unreadable amount from an absent one. The description runs to the next
     blank line and is folded onto one line. Nothing is inferred except ``claim_type``, which
     the policy prefix decides.
     """
     body = fold_newlines(F.col(text))
-    amount = F.regexp_replace(F.regexp_replace(_labelled(F.col("_body"), LABELS["claim_amount"]), r"^(?i:INR|Rs\.?)\s*", ""), ",", "")
+    stated = _labelled(F.col("_body"), LABELS["claim_amount"])
+    bare = F.regexp_replace(F.regexp_replace(stated, r"^(?i:INR|Rs\.?|₹)\s*", ""), r"\s*/[-=]?$", "")
+    amount = F.regexp_replace(bare, ",", "")
     told = strip_ws(F.regexp_replace(F.regexp_extract(F.col("_body"), DESCRIPTION, 1), r"\s+", " "))
     fields = df.withColumn("_body", body).withColumns(
         {
@@ -43,6 +46,7 @@ def extract_fields(df: DataFrame, text: str = "document_text") -> DataFrame:
             "incident_date": _labelled(F.col("_body"), LABELS["incident_date"]),
             "claim_amount": to_number(amount),
             "incident_description": F.nullif(told, F.lit("")),
+            **({"claim_amount_text": amount} if amount_text else {}),
         }
     )
     return classify_claim_type(fields).drop("_body")

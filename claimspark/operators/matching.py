@@ -2,8 +2,9 @@
 
 Substring tests of every needle against every document do not scale. Here each document is
 cut, inside its task, into windows of the needles' lengths; windows whose hash no needle has
-are dropped at once, by a bitmap of fixed size. The few that remain are plain strings, and
-equality decides. Nothing is approximate: the bitmap only ever keeps too much.
+are dropped at once, by a bitmap that grows with the needles. The few that remain are plain strings,
+and equality decides. Nothing is approximate: the bitmap only ever keeps too much. Needles beyond what one
+bitmap holds at full selectivity go into hash groups, each with a bitmap and a scan of its own.
 
 Needles of many lengths share a few prefix lengths (powers of two). Every position is tested
 for those prefixes only; the full lengths are tested where a prefix was found.
@@ -12,6 +13,7 @@ for those prefixes only; the full lengths are tested where a prefix was found.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_BITS = 1 << 20
-MAX_BITS = 1 << 29        # 64 MiB, whatever the number of needles
+MAX_BITS = 1 << 29        # 64 MiB on a worker; more needles are worked through in groups
 BITS_PER_NEEDLE = 64
 BUCKET_BITS = 32768       # bits per row of Spark's bitmap aggregate
 BLOCK_BYTES = 1 << 18     # text hashed at a time; blocks overlap by the longest needle
+BATCH_BYTES = 1 << 24     # text scanned at once, at least one document
 LONGEST_PREFIX = 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -110,6 +113,24 @@ def needle_hits(needles: DataFrame, texts: DataFrame, key: str, text: str) -> Da
     ``needles`` holds distinct lower-case strings in ``needle``. Every true containment is in
     the answer; a few others are too, and fall away in any later join on ``needle``.
     """
+    groups = -(-needles.where(F.octet_length("needle") > 0).count() * BITS_PER_NEEDLE // MAX_BITS)
+    hits = [
+        _group_hits(needles.where(F.pmod(F.xxhash64("needle"), F.lit(groups)) == g), texts, key, text)
+        for g in range(groups)
+    ]
+    return reduce(DataFrame.unionByName, hits) if hits else _group_hits(needles.where(F.lit(False)), texts, key, text)
+
+
+def _by_bytes(batches: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]:
+    """Cut batches so that each holds about ``BATCH_BYTES`` of text, whatever size they come in."""
+    for batch in batches:
+        sizes = batch[text].str.len().fillna(0).cumsum() // BATCH_BYTES
+        for _, part in batch.groupby(sizes.to_numpy(), sort=False):
+            yield part.reset_index(drop=True)
+
+
+def _group_hits(needles: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """The hits of as many needles as one bitmap holds."""
     spark = texts.sparkSession
     sizes = (
         needles.groupBy(F.octet_length("needle").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()
@@ -138,7 +159,7 @@ def needle_hits(needles: DataFrame, texts: DataFrame, key: str, text: str) -> Da
             second = second[at]
             return at[bitmap[second >> np.uint64(3)] >> (second & np.uint64(7)).astype(np.uint8) & 1 == 1]
 
-        for batch in batches:
+        for batch in _by_bytes(batches, text):
             encoded = [t.encode("utf-8") if t is not None else b"" for t in batch[text]]
             stream = b"".join(encoded)
             ends = np.cumsum([len(e) for e in encoded])

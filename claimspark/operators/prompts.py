@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark import constants as C
@@ -60,18 +60,9 @@ def truncate_text(df: DataFrame, text: str, n: int = C.EMBED_CHARS) -> DataFrame
     return df.withColumn("embed_text", F.substring(F.col(text), 1, n))
 
 
-def estimate_tokens(
-    df: DataFrame, prompt: str, model: str = "model_id", bases: Mapping[str, tuple[int, int]] = C.TOKEN_BASES
-) -> DataFrame:
-    """Add ``input_tokens`` (base of the model + a token per four characters) and ``output_tokens``."""
-    base_in = by_key({m: b[0] for m, b in bases.items()}, F.col(model), C.DEFAULT_TOKEN_BASE[0])
-    base_out = by_key({m: b[1] for m, b in bases.items()}, F.col(model), C.DEFAULT_TOKEN_BASE[1])
-    return df.withColumns(
-        {
-            "input_tokens": estimated_tokens(F.col(prompt), base_in),
-            "output_tokens": base_out.cast("bigint"),
-        }
-    )
+def estimate_tokens(df: DataFrame, prompt: str, chars_per_token: float = C.CHARS_PER_TOKEN) -> DataFrame:
+    """Add ``input_tokens``: an estimate by the length of the text."""
+    return df.withColumn("input_tokens", estimated_tokens(F.col(prompt), chars_per_token))
 
 
 def estimate_cost(
@@ -87,15 +78,23 @@ def estimate_cost(
 def join_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Left join of requests to answers on (document_id, model_id, task).
 
-    A request without an answer, or whose answer carries an error, gets ``run_error``. Only the
+    A request without an answer, or whose answer carries an error, gets ``run_error``; one that it has already
+    stays. A request that was answered more than once takes one answer: one without an error before the others, then
+    the largest by content, so that the choice is the same on every run. Only the
     keys of ``requests`` and the columns asked for travel, so keep document text out of it.
     """
     keys = ["document_id", "model_id", "task"]
     has_error = "error" in responses.columns
     answers = responses if has_error else responses.withColumn("error", F.lit(None).cast("string"))
-    joined = requests.join(answers.withColumn("_answered", F.lit(True)), keys, "left")
+    rest = [c for c in answers.columns if c not in keys]
+    good = F.col("error").isNull() & F.col("raw_output").isNotNull()
+    one = Window.partitionBy(*keys).orderBy(F.desc(good), *[F.desc(c) for c in rest])
+    single = answers.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    joined = requests.join(single.withColumn("_answered", F.lit(True)), keys, "left")
     failed = F.col("_answered").isNull() | F.col("error").isNotNull() | F.col("raw_output").isNull()
-    return joined.withColumn("run_error", F.when(failed, F.lit(C.MSG_FAILED))).drop("_answered", "error")
+    before = F.col("run_error") if "run_error" in requests.columns else F.lit(None).cast("string")
+    told = F.coalesce(before, F.when(failed, F.lit(C.MSG_FAILED)))
+    return joined.withColumn("run_error", told).drop("_answered", "error")
 
 
 def infer(

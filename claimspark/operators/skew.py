@@ -5,27 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1000            # at most this many keys are treated as hot, so the list stays small
+from claimspark.session import materialise
+
 ROWS_PER_SLICE = 2_000_000
-MAX_SLICES = 4096
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 
 
 def hot_keys(counts: DataFrame, key: str, rows: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """The heaviest keys and the number of slices to cut each into.
+    """The keys with more than ``rows_per_slice`` rows and the number of slices to cut each into.
 
-    ``counts`` is one row per key, that is already pre-aggregated. The answer never holds
-    more than ``HOT_KEYS`` rows, which is what makes broadcasting it safe; keys beyond the
-    list are joined unsliced, so no row is lost.
+    ``counts`` is one row per key, that is already pre-aggregated. Each key on the list owns more than
+    ``rows_per_slice`` rows, so the list is that much shorter than the table. NULL is listed like any other key.
     """
-    slices = F.least(F.ceil(F.col(rows) / F.lit(rows_per_slice)), F.lit(MAX_SLICES)).cast("int")
-    return (
-        counts.where(F.col(key).isNotNull() & (F.col(rows) > rows_per_slice))
-        .orderBy(F.desc(rows), key)
-        .limit(HOT_KEYS)
-        .select(F.col(key).alias("_hot"), slices.alias("_slices"))
-    )
+    slices = F.ceil(F.col(rows) / F.lit(rows_per_slice)).cast("bigint")
+    return counts.where(F.col(rows) > rows_per_slice).select(F.col(key).alias("_hot"), slices.alias("_slices"))
 
 
 def salted_join(
@@ -38,17 +32,17 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join on ``key`` with the hot keys of ``left`` cut into slices.
 
-    A hot left row goes to the slice its ``spread`` value hashes to; only the right rows of
-    hot keys are repeated, once per slice. ``how`` is ``left``, ``inner``, ``left_semi`` or
+    A hot left row goes to the slice its ``spread`` value hashes to, rows without a key too; only the right
+    rows of hot keys are repeated, once per slice. ``how`` is ``left``, ``inner``, ``left_semi`` or
     ``left_anti``.
     """
-    flags = F.broadcast(hot)
+    flags = F.broadcast(hot) if is_small(hot) else hot
     slice_of = F.when(
         F.col("_slices").isNotNull(),
         F.pmod(F.xxhash64(spread), F.col("_slices").cast("bigint")),
     ).otherwise(F.lit(0).cast("bigint"))
     sliced = (
-        left.join(flags, left[key] == flags["_hot"], "left")
+        left.join(flags, left[key].eqNullSafe(flags["_hot"]), "left")
         .withColumn("_slice", slice_of)
         .drop("_hot", "_slices")
     )
@@ -96,5 +90,6 @@ def lookup_join(
     """
     if is_small(right, rows):
         return left.join(F.broadcast(right), key, how)
+    left = materialise(left, "lookup")     # counted and joined: computed once
     counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     return salted_join(left, right, key, spread, hot_keys(counts, key, "_rows", rows_per_slice), how)

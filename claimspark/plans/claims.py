@@ -20,11 +20,14 @@ SUMMARY = "generate_summary"
 def form_answers(docs: DataFrame) -> DataFrame:
     """Documents with the answer a form reader gives: ``raw_output`` as JSON, from labels.
 
-    Stands where a model would be called, for documents that follow the claim form.
+    Stands where a model would be called, for documents that follow the claim form. An amount that is
+    stated but cannot be read goes on as stated, so validation names it.
     """
-    read = extract_fields(docs)
-    answer = F.to_json(F.struct(*C.REQUIRED_FIELDS), {"ignoreNullFields": "false"})
-    return read.withColumn("raw_output", answer).drop(*C.REQUIRED_FIELDS)
+    read = extract_fields(docs, amount_text=True)
+    amount = F.coalesce(F.col("claim_amount").cast("string"), F.col("claim_amount_text"))
+    fields = [amount.alias(c) if c == "claim_amount" else F.col(c) for c in C.REQUIRED_FIELDS]
+    answer = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    return read.withColumn("raw_output", answer).drop(*C.REQUIRED_FIELDS, "claim_amount_text")
 
 
 def judge(answered: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from claimspark.functions.text import format_inr, strip_code_fence
 from claimspark.operators import compare, coverage, extract, prompts, results, validate
 from claimspark.plans import claims as jobs
 from claimspark.plans.registry import query
+from claimspark.plans.results_sql import LATEST, LATEST_ORDER
 from claimspark.plans.views import table
 from claimspark.session import fresh_path
 from claimspark.sources import sinks
@@ -87,15 +88,10 @@ def render_summary_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("document_id", "prompt")
 
 
-@query("""
-SELECT document_id, model_id, CAST(CASE model_id WHEN 'small' THEN 248 WHEN 'large' THEN 248 ELSE 250 END
-         + length(raw_output) // 4 AS BIGINT) AS input_tokens,
-       CAST(CASE model_id WHEN 'small' THEN 118 WHEN 'large' THEN 145 ELSE 130 END AS BIGINT) AS output_tokens
-FROM model_outputs
-""")
+@query("SELECT document_id, model_id, CAST(ceil(length(raw_output) / 4.0) AS BIGINT) AS input_tokens FROM model_outputs")
 def estimate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = prompts.estimate_tokens(table(spark, sf_dir, "model_outputs"), "raw_output")
-    return sized.select("document_id", "model_id", "input_tokens", "output_tokens")
+    return sized.select("document_id", "model_id", "input_tokens")
 
 
 @query("""
@@ -564,7 +560,8 @@ def claim_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         "document_id", F.col("latency_seconds").alias("summary_latency_s")
     )
     timed = table(spark, sf_dir, "claims").join(first, "document_id").join(second, "document_id")
-    return results.claim_metrics(timed).select("document_id", "total_latency_s", "cost_per_claim_usd")
+    priced = results.claim_metrics(timed, {"auto": 0.00048}, other=0.0005)
+    return priced.select("document_id", "total_latency_s", "cost_per_claim_usd")
 
 
 @query(f"""
@@ -590,15 +587,24 @@ def claim_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT c.document_id, CASE WHEN r.document_id IS NULL THEN 'success' END AS computed_status,
+SELECT c.document_id, coalesce(r.status, 'success') AS status, r.claim_amount AS stored_amount, r.summary AS stored_summary,
        CASE WHEN r.document_id IS NULL THEN 'computed' ELSE 'stored' END AS source
-FROM claims c LEFT JOIN {_KEYED} r ON c.document_id = r.document_id
+FROM claims c LEFT JOIN {LATEST} r ON c.document_id = r.document_id
 """)
 def stored_or_computed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = results.latest_results(table(spark, sf_dir, "results_log")).select("document_id", "processed_timestamp")
+    log = table(spark, sf_dir, "results_log").select(
+        "document_id", "status", "processed_timestamp", "batch_id", "claim_amount", "summary"
+    )
     docs = table(spark, sf_dir, "claim_docs")
-    merged = results.stored_or_computed(docs, latest, lambda missing: jobs.process_forms(missing, now=0))
-    return merged.select("document_id", F.col("status").alias("computed_status"), "source")
+
+    def compute(missing: DataFrame) -> DataFrame:
+        return jobs.process_forms(missing, now=0).select("document_id", "status")
+
+    merged = results.stored_or_computed(docs, log, compute, LATEST_ORDER)
+    return merged.select(
+        "document_id", "status", F.col("claim_amount").cast("double").alias("stored_amount"),
+        F.col("summary").alias("stored_summary"), "source",
+    )
 
 
 # ---------------------------------------------------------------- model comparison
@@ -672,7 +678,7 @@ ORDER BY a.valid_share DESC, 3, s.model LIMIT 1
 """)
 def pick_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _comparison(spark, sf_dir)
-    picked = compare.pick_model(compare.model_summary(rows), compare.extraction_accuracy(rows))
+    picked = compare.pick_model(compare.model_summary(rows, valid_share=True))
     return picked.select(
         "model", F.round("valid_share", 9).alias("valid_share"), F.round("cost_per_1000_usd", 6).alias("cost_per_1000_usd")
     )

@@ -9,6 +9,7 @@ from claimspark.operators.extract import extract_fields
 from claimspark.operators.results import latest_results, lookup_results
 from claimspark.plans.claims import process_forms
 from claimspark.plans.registry import query
+from claimspark.plans.results_sql import LATEST, LATEST_ORDER
 from claimspark.plans.views import table
 from claimspark.session import fresh_path
 from claimspark.sources import events, files, sinks
@@ -16,14 +17,14 @@ from claimspark.streaming.claims import upsert_stream
 
 
 def land_as_files(docs: DataFrame, key: str, text: str, name: str) -> str:
-    """Write one text file per row below the shared folder, in a folder named by the key."""
+    """Write one text file per row below the shared folder, named by the key."""
     path = fresh_path(docs.sparkSession, name)
-    docs.select(key, text).repartition(key).write.partitionBy(key).text(path)
+    sinks.write_files(docs, path, key, text)
     return path
 
 
 @query("""
-SELECT document_id, CAST(strlen(document_text) + 1 AS BIGINT) AS n_bytes FROM pages_as_files ORDER BY document_id
+SELECT document_id, CAST(strlen(document_text) AS BIGINT) AS n_bytes FROM pages_as_files ORDER BY document_id
 """)
 def list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = land_as_files(table(spark, sf_dir, "pages_as_files"), "document_id", "document_text", "pages")
@@ -31,7 +32,7 @@ def list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT document_id, 'text' AS media, document_text || chr(10) AS document_text FROM pages_as_files
+SELECT document_id, 'text' AS media, document_text FROM pages_as_files
 """)
 def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = land_as_files(table(spark, sf_dir, "pages_as_files"), "document_id", "document_text", "pages")
@@ -74,7 +75,7 @@ def admit_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.admit_uploads(table(spark, sf_dir, "upload_names"))
 
 
-@query("SELECT file_name, text || chr(10) AS text FROM policies")
+@query("SELECT file_name, text FROM policies")
 def scan_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = land_as_files(table(spark, sf_dir, "policies"), "file_name", "text", "policies")
     return files.scan_policies(spark, path)
@@ -93,17 +94,8 @@ def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.chunk_paragraphs(table(spark, sf_dir, "claim_docs"), "document_id", "document_text")
 
 
-_LATEST = """
-(SELECT document_id, status, CAST(claim_amount AS DOUBLE) AS claim_amount, summary, processed_timestamp, batch_id
- FROM (SELECT *, row_number() OVER (PARTITION BY document_id
-         ORDER BY processed_timestamp DESC, batch_id DESC, claim_amount DESC, status DESC, summary DESC NULLS LAST) AS n
-       FROM results_log) x WHERE n = 1)
-"""
-_ORDER = ("processed_timestamp", "batch_id", "claim_amount", "status", "summary")
-
-
 def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_results(table(spark, sf_dir, "results_log"), order=_ORDER)
+    return latest_results(table(spark, sf_dir, "results_log"), order=LATEST_ORDER)
 
 
 def _plain(results: DataFrame) -> DataFrame:
@@ -111,17 +103,17 @@ def _plain(results: DataFrame) -> DataFrame:
 
 
 @query(f"""
-SELECT r.* FROM {_LATEST} r
+SELECT r.* FROM {LATEST} r
 WHERE r.document_id IN (SELECT 'claim_' || lpad(CAST(event_id AS STRING), 12, '0') || '.txt' FROM events)
 """)
 def q_lookup_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = table(spark, sf_dir, "events").select(
         F.format_string("claim_%012d.txt", "event_id").alias("document_id")
     )
-    return _plain(lookup_results(_latest(spark, sf_dir), keys))
+    return _plain(lookup_results(table(spark, sf_dir, "results_log"), keys, LATEST_ORDER))
 
 
-@query(f"SELECT * FROM {_LATEST} r")
+@query(f"SELECT * FROM {LATEST} r")
 def q_latest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(_latest(spark, sf_dir))
 
@@ -153,16 +145,17 @@ def filter_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, file_name AS document_id, CASE WHEN regexp_matches(lower(file_name), '\\.(png|jpg|jpeg)$')
+SELECT doc_id, file_name AS document_id, content, CASE WHEN regexp_matches(lower(file_name), '\\.(png|jpg|jpeg)$')
          THEN CASE WHEN contains(lower(file_name), 'invoice') THEN 'invoice' ELSE 'photo' END
          ELSE 'text' END AS media
-FROM upload_names
+FROM (SELECT u.doc_id, u.file_name, d.text AS content FROM upload_names u JOIN documents d USING (doc_id)) x
 """)
 def land_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "landing")
-    docs = table(spark, sf_dir, "upload_names").withColumnRenamed("file_name", "document_id")
+    content = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    docs = table(spark, sf_dir, "upload_names").withColumnRenamed("file_name", "document_id").join(content, "doc_id")
     sinks.land_documents(docs, path)
-    return spark.read.parquet(path).select("doc_id", "document_id", "media")
+    return spark.read.parquet(path).select("doc_id", "document_id", "content", "media")
 
 
 # Rows as the form reader stores them: what the sinks write, checked against plain SQL.
@@ -242,7 +235,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(latest_results(written))
 
 
-@query(f"SELECT * EXCLUDE (batch_id, summary) FROM {_LATEST} r")
+@query(f"SELECT * EXCLUDE (batch_id, summary) FROM {LATEST} r")
 def stream_redelivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results delivered again and again in several batches; the newest of each document is read."""
     landed, stored = fresh_path(spark, "deliveries"), fresh_path(spark, "results")
@@ -253,4 +246,4 @@ def stream_redelivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ", ".join(f"{name} {kind}" for name, kind in log.dtypes)
     written = sinks.stored_results(spark, stored, columns)
     order = ("processed_timestamp", "delivery", "claim_amount", "status", "summary")
-    return _plain(latest_results(written, order=order)).drop("batch_id", "delivery", "summary")
+    return _plain(latest_results(written, order=order)).drop("run_id", "batch_id", "delivery", "summary")

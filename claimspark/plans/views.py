@@ -185,7 +185,13 @@ FROM documents
 """
 
 VIEWS["pages_as_files"] = """
-SELECT 'page_' || lpad(CAST(page_id AS STRING), 9, '0') || '.txt' AS document_id, html AS document_text FROM pages
+SELECT CASE page_id % 5
+         WHEN 0 THEN 'page_' || lpad(CAST(page_id AS STRING), 9, '0') || '.txt'
+         WHEN 1 THEN 'by day/0' || CAST(page_id % 28 AS STRING) || '/' || CAST(page_id AS STRING) || '/claim.txt'
+         WHEN 2 THEN 'plain/' || lpad(CAST(page_id AS STRING), 6, '0')
+         WHEN 3 THEN 'UPPER/a+b ' || CAST(page_id AS STRING) || '%.TXT'
+         ELSE 'k=0012/é' || CAST(page_id AS STRING) || '.md' END AS document_id, html AS document_text
+FROM pages
 """
 
 _ENGINE = {

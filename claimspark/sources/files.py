@@ -2,60 +2,75 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.functions.text import fold_newlines, media_of, safe_key, strip_ws
+from claimspark.functions.text import fold_newlines, is_image, media_of, safe_key, strip_ws
 
 
-FEW_SPLITS = 8
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, as it lies."""
+    return spark.read.parquet(path)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table. One that comes in a few splits is spread over the cores.
+def root_of(spark: SparkSession, path: str) -> str:
+    """The folder as a full URI, as Spark names the files below it; a pattern counts up to its first folder."""
+    plain = re.split(r"/[^/]*[*?\[{]", path, maxsplit=1)[0]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(plain)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return re.sub(r"^file:/+", "file:/", fs.makeQualified(hadoop).toUri().toString()).rstrip("/")
 
-    The work per document is mostly parsing, so a small file in a single split would keep one
-    core busy. A table of more than ``FEW_SPLITS`` splits is left as it lies, unshuffled.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < min(FEW_SPLITS, cores) else df
 
+def document_key(root: str) -> Column:
+    """Document key of a file: its path below the root, as text. Two files never share one."""
+    whole = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+    encoded = F.substring(whole, F.lit(len(root) + 2), F.lit(1 << 30))
+    # a plus sign stands for itself in a path
+    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
 
-def _key(df: DataFrame) -> Column:
-    """Document key: the partition value where files are laid out by key, else the file name."""
-    return F.col("document_id") if "document_id" in df.columns else F.col("_metadata.file_name")
 
+def _below(reader, glob: str | None):
+    reader = reader.option("recursiveFileLookup", True)
+    return reader.option("pathGlobFilter", glob) if glob else reader
 
-def list_documents(spark: SparkSession, path: str) -> DataFrame:
-    """``document_id, n_bytes`` of every file, sorted by key. Contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.*").load(path)
-    return files.select(_key(files).alias("document_id"), F.col("length").alias("n_bytes")).orderBy("document_id")
 
+def list_documents(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """``document_id, n_bytes`` of every file below the folder, sorted by key. Contents are not read.
 
-def scan_documents(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
-    """``document_id, document_text, media``: one row per file, UTF-8, newlines folded."""
-    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
-    return files.select(
-        _key(files).alias("document_id"), fold_newlines(F.col("value")).alias("document_text")
-    ).withColumn("media", media_of(F.col("document_id")))
+    Spark itself passes over names that begin with ``_`` or ``.``.
+    """
+    files = _below(spark.read.format("binaryFile"), glob).load(path)
+    return files.select(document_key(root_of(spark, path)).alias("document_id"), F.col("length").alias("n_bytes")).orderBy("document_id")
+
+
+def scan_documents(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """``document_id, document_text, media``: every file below the folder that is no image, UTF-8, newlines folded."""
+    files = _below(spark.read, glob).text(path, wholetext=True)
+    return (
+        files.where(~is_image(F.col("_metadata.file_name")))
+        .select(document_key(root_of(spark, path)).alias("document_id"), fold_newlines(F.col("value")).alias("document_text"))
+        .withColumn("media", media_of(F.col("document_id")))
+    )
 
 
-def scan_images(spark: SparkSession, path: str) -> DataFrame:
-    """``document_id, content, media`` of image files, as bytes."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,PNG,JPG,JPEG}").load(path)
-    return files.select(_key(files).alias("document_id"), "content").withColumn(
-        "media", media_of(F.col("document_id"))
+def scan_images(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """``document_id, content, media`` of the image files below the folder, as bytes."""
+    files = _below(spark.read.format("binaryFile"), glob).load(path)
+    return (
+        files.where(is_image(F.col("_metadata.file_name")))
+        .select(document_key(root_of(spark, path)).alias("document_id"), "content")
+        .withColumn("media", media_of(F.col("document_id")))
     )
 
 
 def scan_policies(spark: SparkSession, path: str) -> DataFrame:
     """``file_name, text`` of the files directly in a folder (sub-folders are not entered)."""
-    files = spark.read.option("recursiveFileLookup", False).text(path, wholetext=True)
-    name = F.col("file_name") if "file_name" in files.columns else F.col("_metadata.file_name")
-    return files.select(name.alias("file_name"), fold_newlines(F.col("value")).alias("text"))
+    files = _below(spark.read, None).text(path, wholetext=True)
+    key = document_key(root_of(spark, path))
+    return files.where(~key.contains("/")).select(key.alias("file_name"), fold_newlines(F.col("value")).alias("text"))
 
 
 def chunk_paragraphs(df: DataFrame, key: str = "file_name", text: str = "text") -> DataFrame:

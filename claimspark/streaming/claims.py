@@ -8,32 +8,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from claimspark.functions.text import fold_newlines, media_of
+from claimspark import constants as C
+from claimspark.functions.text import fold_newlines, is_image, media_of
+from claimspark.sources.files import document_key, root_of
 from claimspark.sources.sinks import write_results
 
 
-def stream_documents(spark: SparkSession, path: str, glob: str = "*.txt", files_per_trigger: int = 10_000) -> DataFrame:
-    """Stream of ``document_id, document_text, media``; each new file is one row."""
-    files = (
-        spark.readStream.option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .text(path, wholetext=True)
-    )
+def stream_documents(
+    spark: SparkSession, path: str, glob: str | None = None, files_per_trigger: int = 10_000
+) -> DataFrame:
+    """Stream of ``document_id, document_text, media, run_error``; each new file below the folder is one row.
+
+    The key is the path below the folder. An image has no text here; its row says so in ``run_error``, so it
+    ends as a failure and does not vanish.
+    """
+    reader = spark.readStream.option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_trigger)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    files = reader.text(path, wholetext=True)
+    image = is_image(F.col("_metadata.file_name"))
     return files.select(
-        F.col("_metadata.file_name").alias("document_id"),
-        fold_newlines(F.col("value")).alias("document_text"),
+        document_key(root_of(spark, path)).alias("document_id"),
+        F.when(~image, fold_newlines(F.col("value"))).alias("document_text"),
+        F.when(image, F.lit(C.MSG_NO_TEXT)).alias("run_error"),
     ).withColumn("media", media_of(F.col("document_id")))
 
 
 def upsert_to(path: str, process: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """The batch step: process, then store under the batch's own folder.
+    """The batch step: process, then store under the folder of the stream and the batch.
 
-    Statuses are split by the partitioned write itself, in one pass over the batch. Documents
-    that arrive again are processed again; the newest write wins on reading, so nothing is
-    dropped as a duplicate here.
+    A stream keeps its id as long as its checkpoint; another stream has another. Statuses are split by the
+    partitioned write itself, in one pass over the batch. Documents that arrive again are processed again; the
+    newest write wins on reading, so nothing is dropped as a duplicate here.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_results(process(batch), path, batch_id)
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        write_results(process(batch), path, batch_id, stream or "batch")
 
     return write
 
@@ -60,8 +70,10 @@ def stream_claims(
     out_path: str,
     checkpoint: str,
     process: Callable[[DataFrame], DataFrame],
-    glob: str = "*.txt",
+    glob: str | None = None,
     trigger: dict | None = None,
+    files_per_trigger: int = 10_000,
 ) -> StreamingQuery:
-    """Claims dropped as files into ``in_path``, processed into the result table at ``out_path``."""
-    return upsert_stream(stream_documents(spark, in_path, glob), out_path, checkpoint, process, trigger)
+    """Claims dropped as files below ``in_path``, processed into the result table at ``out_path``."""
+    docs = stream_documents(spark, in_path, glob, files_per_trigger)
+    return upsert_stream(docs, out_path, checkpoint, process, trigger)

@@ -22,17 +22,33 @@ def folder(tmp_path):
     (tmp_path / "scan_invoice.PNG").write_bytes(b"\x89PNG")
     (tmp_path / "photo.jpg").write_bytes(b"\xff\xd8")
     (tmp_path / "sub").mkdir()
-    (tmp_path / "sub" / "inner.txt").write_text("not read")
+    (tmp_path / "sub" / "inner.txt").write_text("inner")
+    (tmp_path / "sub" / "claim_car.txt").write_text("another")
+    (tmp_path / "k=0012").mkdir()
+    (tmp_path / "k=0012" / "a+b c%é").write_text("no extension")
+    (tmp_path / "U.TXT").write_text("upper")
+    (tmp_path / "b.md").write_text("notes")
     return tmp_path
 
 
+OTHERS = {"sub/inner.txt": "inner", "sub/claim_car.txt": "another", "k=0012/a+b c%é": "no extension", "U.TXT": "upper", "b.md": "notes"}
+
+
 def test_list_and_scan(spark, folder):
+    every = {**dict(DOCS), **OTHERS}
     listed = [r["document_id"] for r in files.list_documents(spark, str(folder)).collect()]
-    assert listed == sorted(n for n, _ in DOCS) [:3] + ["photo.jpg", "scan_invoice.PNG"]
+    assert listed == sorted([*every, "photo.jpg", "scan_invoice.PNG"])
     scanned = {r["document_id"]: (r["document_text"], r["media"]) for r in files.scan_documents(spark, str(folder)).collect()}
-    assert scanned == {name: (text, "text") for name, text in DOCS}
+    assert scanned == {name: (text, "text") for name, text in every.items()}
     images = {r["document_id"]: (r["media"], bytes(r["content"])) for r in files.scan_images(spark, str(folder)).collect()}
     assert images == {"scan_invoice.PNG": ("invoice", b"\x89PNG"), "photo.jpg": ("photo", b"\xff\xd8")}
+    assert [r["document_id"] for r in files.list_documents(spark, str(folder), "*.md").collect()] == ["b.md"]
+
+
+def test_files_are_landed_under_their_keys(spark, tmp_path):
+    rows = [(name, text) for name, text in OTHERS.items()]
+    assert sinks.write_files(spark.createDataFrame(rows, "k STRING, t STRING"), str(tmp_path / "x"), "k", "t") == len(rows)
+    assert {r["document_id"]: r["document_text"] for r in files.scan_documents(spark, str(tmp_path / "x")).collect()} == OTHERS
 
 
 def test_scan_folds_newlines_and_keeps_one_row_per_file(spark, tmp_path):
@@ -104,6 +120,33 @@ def test_result_table_is_replay_safe(spark):
     assert sinks.stored_results(spark, path).where("batch_id = 1").count() == 1
 
 
+def test_another_run_overwrites_nothing(spark, tmp_path):
+    docs = spark.createDataFrame(DOCS, "document_id STRING, document_text STRING")
+    path = str(tmp_path / "t")
+    sinks.write_results(jobs.process_forms(docs, now=1), path, 0)
+    sinks.write_results(jobs.process_forms(docs.limit(1), now=2), path, 0, run_id="other")
+    stored = sinks.stored_results(spark, path)
+    assert stored.count() == len(DOCS) + 1
+    sinks.compact_results(stored, str(tmp_path / "next"))
+    small = sinks.stored_results(spark, str(tmp_path / "next"))
+    assert small.count() == len(DOCS) and sinks.stored_results(spark, path).count() == len(DOCS) + 1
+    assert {(r["processed_timestamp"], r["run_id"]) for r in small.collect()} == {(1, "batch"), (2, "other")}
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.compact_results(stored, str(tmp_path / "next"))
+
+
+def test_a_retried_answer_counts_once(spark):
+    from claimspark.operators.prompts import join_responses
+
+    asked = spark.createDataFrame([("d", "m", "t", None), ("e", "m", "t", "lost before")], "document_id STRING, model_id STRING, task STRING, run_error STRING")
+    answers = spark.createDataFrame(
+        [("d", "m", "t", None, "timeout"), ("d", "m", "t", "x", None), ("d", "m", "t", "x", None), ("d", "m", "t", "a", None), ("e", "m", "t", "y", None)],
+        "document_id STRING, model_id STRING, task STRING, raw_output STRING, error STRING",
+    )
+    got = {r["document_id"]: (r["raw_output"], r["run_error"]) for r in join_responses(asked, answers).collect()}
+    assert got == {"d": ("x", None), "e": ("y", "lost before")} and join_responses(asked, answers).count() == 2
+
+
 def test_each_status_keeps_its_columns(spark):
     docs = spark.createDataFrame([(k, AUTO) for k in "abc"], "document_id STRING, document_text STRING")
     answers = spark.createDataFrame(
@@ -156,8 +199,8 @@ def test_defaults_and_metrics(spark):
     )
     filled = [tuple(r)[:5] for r in results.default_fields(rows).collect()]
     assert filled == [("", "", "2026", 0.0, "auto"), ("n", "p", "", 5.0, "auto"), ("n", "p", "d", 0.0, "health")]
-    assert [(r["total_latency_s"], r["cost_per_claim_usd"]) for r in results.claim_metrics(rows).collect()] == [
-        (3.09, 0.0005), (3.55, 0.00048), (2.0, 0.0005),
+    assert [(r["total_latency_s"], r["cost_per_claim_usd"]) for r in results.claim_metrics(rows, {"auto": 0.1}, other=0.2).collect()] == [
+        (3.09, 0.2), (3.55, 0.1), (2.0, 0.2),
     ]
 
 
@@ -211,22 +254,21 @@ def test_stream_upsert_routing_and_redelivery(spark, tmp_path):
         return stored, {r["document_id"]: r for r in results.latest_results(stored).collect()}
 
     stored, rows = run()
-    assert set(rows) == {"a.txt", "b.txt"} and rows["a.txt"]["extracted_info"]["claim_type"] == "auto"
+    assert set(rows) == {"a.txt", "b.txt", "c.png"} and rows["a.txt"]["extracted_info"]["claim_type"] == "auto"
+    assert rows["c.png"]["status"] == "pipeline_failure"
     # nothing new: nothing written again
-    assert run()[0].count() == 2
-    # the same document again, with other content: processed again, the newer one wins
-    import os
-
-    other = tmp_path / "next.txt"
-    other.write_text(HEALTH)
-    os.utime(other, (4_000_000_000, 4_000_000_000))
+    assert run()[0].count() == 3
+    # equal base names are two documents
     (inbox / "later").mkdir()
-    os.replace(other, inbox / "later" / "a.txt")
-    stream_claims(spark, str(inbox) + "/*", out, state, process).awaitTermination()
+    (inbox / "later" / "a.txt").write_text(AUTO)
+    stored, latest = run()
+    assert latest["later/a.txt"]["status"] == "success" and stored.count() == 4
+    # a stream with a new checkpoint is another run: it adds rows, removes none, and the newer ones win
+    (inbox / "a.txt").write_text(HEALTH)
+    stream_claims(spark, str(inbox), out, state + "-2", process).awaitTermination()
     stored = sinks.stored_results(spark, out)
     latest = {r["document_id"]: r for r in results.latest_results(stored).collect()}
-    assert latest["a.txt"]["extracted_info"]["claim_type"] == "health"
-    assert stored.where("document_id = 'a.txt'").count() == 2
+    assert stored.count() == 8 and latest["a.txt"]["extracted_info"]["claim_type"] == "health"
 
 
 def test_batch_replay_overwrites_itself(spark, tmp_path):
