@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import table
+from claimspark.llm.common import drawn, table
 from claimspark.session import materialise
 
 SAMPLE = 20_000        # vectors that the centroids are fitted on
@@ -141,7 +141,8 @@ def search(vectors: DataFrame, asked: Column, k: int = 20, probed: float = PROBE
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     most = good.agg(F.sqrt(F.max(norm))).first()[0]
     n = lengths["count"]
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
+    some = good.where(drawn(F.col("vec_id"), SAMPLE, n))
+    sample = some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
     index = Index(np.array([r["v"] for r in sample]), most, lists or int(min(MOST_LISTS, max(n**0.5 / 4, min(16, n // 16), 1))))
 
     def deal(batches):

@@ -151,6 +151,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
                 first = cut
 
 
+def drawn(by: Column, wanted: int, rows: int | Column) -> Column:
+    """Whether a row is in a sample of about twice ``wanted`` of ``rows`` rows, by a hash of ``by``.
+
+    What is then ordered and cut to ``wanted`` rows does not grow with the table.
+    """
+    return F.shiftrightunsigned(F.xxhash64(by), 11) / float(1 << 53) * (rows if isinstance(rows, Column) else F.lit(rows)) < 2.0 * wanted
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a NULL id is as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))

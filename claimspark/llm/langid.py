@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import fold_of, slices, table
+from claimspark.llm.common import drawn, fold_of, slices, table
 
 WINDOW = 256           # bytes
 DEPTH = 8              # numbers for a byte
@@ -132,13 +132,11 @@ def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG, most: int = SAMP
     """
     usable = labelled.where("text is not null and lang is not null").withColumn("draw", F.xxhash64("doc_id"))
     counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))     # a row for each language
-    # about twice as many as are kept, so that what is sorted does not grow with the corpus
-    drawn = (F.shiftrightunsigned("draw", 11) / float(1 << 53)) * F.col("rows") < 2.0 * per_lang
     whole = F.length("text")
     starts = [F.greatest(F.lit(1), (whole * k / PARTS).cast("int") + 1) for k in range(PARTS)]
     turn = Window.partitionBy("lang").orderBy("draw", "parts")
     sample = (
-        usable.join(F.broadcast(counts), "lang").where(drawn)
+        usable.join(F.broadcast(counts), "lang").where(drawn(F.col("doc_id"), per_lang, F.col("rows")))
         .select("lang", "draw", F.array(*[F.substring("text", s, F.lit(WINDOW)) for s in starts]).alias("parts"))
         .withColumn("turn", F.row_number().over(turn))
         .where(F.col("turn") <= per_lang)

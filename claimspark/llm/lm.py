@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark.llm.arrays import in_buckets, look_up, packed, store, unpacked
-from claimspark.llm.common import CRC_TABLE, SLICE_BYTES, crc32_sql, fold_of, mix, slices, table, words_of
+from claimspark.llm.common import CRC_TABLE, SLICE_BYTES, crc32_sql, drawn, fold_of, mix, slices, table, words_of
 from claimspark.session import fresh_path
 
 SLICE_TEXT = 8 << 20       # text that one set of messages stands for, and text per bucket
@@ -259,9 +259,10 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     """Count the pairs of all ``texts`` and write the model to the shared folder. NULL texts are empty texts."""
     spark = texts.sparkSession
     texts = texts.select(F.col(text).alias("text"))
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    size, n = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("text")).first()
     bits = max(2, (max(size, 1) // SLICE_TEXT).bit_length())
-    sample = texts.where("text is not null").orderBy(F.xxhash64("text")).limit(HEAVY_DOCS).select(F.substring("text", 1, HEAVY_CHARS)).collect()
+    some = texts.where(F.col("text").isNotNull() & drawn(F.col("text"), HEAVY_DOCS, n))
+    sample = some.select(F.substring("text", 1, HEAVY_CHARS)).limit(HEAVY_DOCS).collect()
     t = Tokens([r[0].encode() for r in sample])
     seen = np.bincount(t.token, minlength=len(t.words))
     frequent = np.argsort(-seen, kind="stable")[: HEAVY_WORDS - 1]
