@@ -13,7 +13,7 @@ from claimspark import constants as C
 from claimspark.functions.text import has_words, words
 from claimspark.functions.vectors import cosine_block, norm
 from claimspark.operators.skew import is_small, lookup_join
-from claimspark.session import materialise
+from claimspark.session import fresh_path, materialise
 
 QUERY_BLOCK = 512  # query vectors held by one task at a time
 
@@ -35,61 +35,55 @@ def similarity_topk(
     """The ``k`` most similar corpus rows of each query: ``query_id, *order, similarity, rank``.
 
     Exact: every corpus vector meets every query vector, as matrix products inside one scan of
-    the corpus. A task keeps only its own best ``k`` per query, so what is shuffled is at most
-    tasks x queries x k narrow rows. Queries travel to the tasks in blocks of about ``block``;
-    more queries mean more blocks, not a larger one. Equal similarities rank by ``order``.
+    the corpus. The queries lie in the shared folder, and a task reads them ``block`` at a time against
+    each batch of its own, so neither the driver nor a task holds them all. What leaves a task is at most ``k``
+    rows per batch and query. Equal similarities rank by ``order``. Vectors that are NULL, hold a NULL, or
+    have another length than most queries take no part.
     """
     order = list(order)
-    wanted = queries.select(query_id, vector)
-    blocks = max(1, -(-wanted.count() // block))
-    slot = F.pmod(F.xxhash64(query_id), F.lit(blocks))
-    narrow = corpus.select(*order, vector)
     fields = {f.name: f.dataType.simpleString() for f in corpus.schema}
     out_schema = ", ".join(
         [f"{query_id} {dict(queries.dtypes)[query_id]}"]
         + [f"{c} {fields[c]}" for c in order]
         + ["similarity double"]
     )
-    parts = []
-    for i in range(blocks):
-        rows = wanted.where(slot == i).collect()
-        if rows:
-            parts.append(narrow.mapInPandas(_best_of_task(rows, query_id, order, vector, k), out_schema))
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], out_schema + ", rank int")
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
-    return rank_topk(scored, k, query_id, order)
-
-
-def _best_of_task(rows, query_id: str, order: list[str], vector: str, k: int):
-    ids = [r[query_id] for r in rows]
-    matrix = np.array([r[vector] for r in rows], dtype=np.float64)
+    path = fresh_path(corpus.sparkSession, "query-vectors")
+    whole = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
+    numbers = F.col(vector).cast("array<double>").alias(vector)
+    queries.where(whole).select(query_id, numbers).write.parquet(path)
+    size = corpus.sparkSession.read.parquet(path).agg(F.mode(F.size(vector))).first()[0]
+    narrow = corpus.where(whole & (F.size(vector) == F.lit(size))).select(*order, numbers)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: pd.DataFrame | None = None
         for batch in batches:
             if batch.empty:
                 continue
-            sims = cosine_block(np.stack(batch[vector].to_numpy()).astype(np.float64), matrix)
-            n = min(k, len(batch))
-            # all rows at or above the n-th best of this batch, so ties are not cut here
-            floor = np.partition(sims, len(batch) - n, axis=0)[len(batch) - n]
-            row, col = np.nonzero(sims >= floor[None, :])
-            fresh = batch[order].iloc[row].reset_index(drop=True)
-            fresh.insert(0, query_id, pd.Series([ids[c] for c in col], dtype=object))
-            fresh["similarity"] = sims[row, col]
-            kept = fresh if kept is None else pd.concat([kept, fresh], ignore_index=True)
-            kept = (
-                kept.sort_values(["similarity", *order], ascending=[False] + [True] * len(order))
-                .groupby(query_id, sort=False)
-                .head(k)
-            )
-        if kept is not None:
-            yield kept
-
-    return best
+            # in the order that decides between equals
+            batch = batch.sort_values(order, ignore_index=True)
+            rows = np.stack(batch[vector].to_numpy())
+            for ids, asked in _stored_vectors(path, query_id, vector, size, block):
+                sims = cosine_block(rows, asked)
+                top = np.argsort(-sims, axis=0, kind="stable")[:k]
+                found = batch[order].iloc[top.T.ravel()].reset_index(drop=True)
+                found.insert(0, query_id, pd.Series(ids, dtype=object).repeat(len(top)).reset_index(drop=True))
+                found["similarity"] = np.take_along_axis(sims, top, axis=0).T.ravel()
+                yield found
+
+    return rank_topk(narrow.mapInPandas(best, out_schema), k, query_id, order)
+
+
+def _stored_vectors(path: str, query_id: str, vector: str, size: int, block: int) -> Iterator[tuple[list, np.ndarray]]:
+    """Ids and vectors of a stored table, ``block`` rows at a time."""
+    from pyarrow import fs, parquet
+
+    system, root = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+    for info in system.get_file_info(fs.FileSelector(root)):
+        if info.path.endswith(".parquet"):
+            with system.open_input_file(info.path) as file:
+                for rows in parquet.ParquetFile(file).iter_batches(block):
+                    kept = [(i, v) for i, v in zip(rows[query_id].to_pylist(), rows[vector].to_pylist()) if len(v) == size]
+                    if kept:
+                        yield [i for i, _ in kept], np.array([v for _, v in kept], dtype=np.float64)
 
 
 def rank_topk(scored: DataFrame, k: int, query_id: str, order: Sequence[str]) -> DataFrame:

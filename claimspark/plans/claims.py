@@ -46,6 +46,18 @@ def process_forms(docs: DataFrame, now: Column | int | None = None) -> DataFrame
     return shape_results(told, now)
 
 
+def process_events(events: DataFrame, docs: DataFrame, now: Column | int | None = None) -> DataFrame:
+    """Upload events to result rows: each named document is read and processed once.
+
+    ``events`` are normalised (``document_id, run_error``). An event without a key, and one whose document
+    is not there, end as failure rows; an earlier ``run_error`` stays.
+    """
+    asked = events.groupBy("document_id").agg(F.min("run_error").alias("run_error"))
+    read = asked.join(docs.select("document_id", "document_text"), "document_id", "left")
+    lost = F.when(F.col("document_text").isNull(), F.lit(C.MSG_FAILED))
+    return process_forms(read.withColumn("run_error", F.coalesce("run_error", lost)), now)
+
+
 def extraction_requests(docs: DataFrame, model_id: str) -> DataFrame:
     """Requests of the extraction task, one per document, prompts rendered."""
     keyed = docs.withColumns({"model_id": F.lit(model_id), "task": F.lit(EXTRACT)})

@@ -184,3 +184,25 @@ FROM (SELECT document_id, least(100, 45 * claimant_hits + 50 * policy_hits) AS s
 """)
 def fraud_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fraud.fraud_band(_scores(spark, sf_dir)).select("document_id", "risk_band", "risk_label")
+
+
+_REVIEWED = "(SELECT * FROM claims WHERE claim_no IN (SELECT page_id FROM pages))"
+
+
+@query(f"""
+SELECT c.document_id, d.document_id AS other_id, 0 AS ord,
+       'Matching claimant ''' || c.claimant_name || ''' found in file ''' || d.document_id || '''' AS reason
+FROM {_REVIEWED} c JOIN claim_docs d ON d.document_id <> c.document_id AND contains(lower(d.document_text), lower(c.claimant_name))
+WHERE c.claimant_name <> ''
+UNION ALL
+SELECT c.document_id, d.document_id, 1,
+       'Matching policy number ''' || c.policy_number || ''' found in file ''' || d.document_id || ''''
+FROM {_REVIEWED} c JOIN claim_docs d ON d.document_id <> c.document_id AND contains(lower(d.document_text), lower(c.policy_number))
+WHERE c.policy_number <> ''
+""")
+def claim_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons of the claims that the table of pages puts under review, in report order."""
+    reviewed = table(spark, sf_dir, "pages").select(F.col("page_id").alias("claim_no")).distinct()
+    claims = materialise(table(spark, sf_dir, "claims").join(reviewed, "claim_no", "left_semi"), "reviewed")
+    index = fraud.fraud_index(claims, table(spark, sf_dir, "claim_docs"))
+    return fraud.reasons_for(claims, fraud.fraud_matches(claims, index)).orderBy("document_id", "other_id", "ord")

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark.operators.extract import extract_fields
-from claimspark.operators.results import latest_results, lookup_results
-from claimspark.plans.claims import process_forms
+from claimspark.operators.results import latest_results, lookup_results, shape_results
+from claimspark.plans.claims import process_events as run_events
+from claimspark.plans.claims import judge, process_forms
 from claimspark.plans.registry import query
 from claimspark.plans.results_sql import LATEST, LATEST_ORDER
 from claimspark.plans.views import table
 from claimspark.session import fresh_path
 from claimspark.sources import events, files, sinks
-from claimspark.streaming.claims import upsert_stream
+from claimspark.streaming.claims import stream_claims, upsert_stream
 
 
 def land_as_files(docs: DataFrame, key: str, text: str, name: str) -> str:
@@ -247,3 +248,36 @@ def stream_redelivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = sinks.stored_results(spark, stored, columns)
     order = ("processed_timestamp", "delivery", "claim_amount", "status", "summary")
     return _plain(latest_results(written, order=order)).drop("run_id", "batch_id", "delivery", "summary")
+
+
+@query("""
+SELECT key AS document_id, CASE WHEN c.document_id IS NULL THEN 'pipeline_failure' ELSE 'success' END AS status,
+       CASE WHEN c.document_id IS NULL THEN 'An unexpected pipeline execution error occurred' END AS error
+FROM (SELECT DISTINCT nullif(CASE WHEN json_extract(payload, '$.Records') IS NOT NULL
+        THEN json_extract_string(payload, '$.Records[0].s3.object.key') ELSE json_extract_string(payload, '$.key') END, '') AS key
+      FROM upload_events) e LEFT JOIN claims c ON c.document_id = e.key
+""")
+def process_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event to document to result: what arrives is read, what is missing leaves a failure row."""
+    told = events.normalise_events(table(spark, sf_dir, "upload_events"))
+    return run_events(told, table(spark, sf_dir, "claim_docs"), now=0).select("document_id", "status", "error")
+
+
+@query("""
+SELECT path AS document_id, CASE WHEN image THEN 'pipeline_failure' ELSE 'extraction_failed' END AS status FROM (
+  SELECT document_id || CASE WHEN contains(document_id, '.md') THEN '.PNG' ELSE '' END AS path, contains(document_id, '.md') AS image
+  FROM pages_as_files) p
+""")
+def stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of any name arriving below a folder: each leaves one row, an image one that says why."""
+    pages = table(spark, sf_dir, "pages_as_files")
+    named = pages.withColumn("document_id", F.concat("document_id", F.when(F.contains("document_id", F.lit(".md")), ".PNG").otherwise("")))
+    inbox = land_as_files(named, "document_id", "document_text", "arrivals")
+    stored = fresh_path(spark, "results")
+
+    def judged(batch: DataFrame) -> DataFrame:
+        # pages are no claim forms: an answer that is no JSON stands for the model's
+        return shape_results(judge(batch.withColumn("raw_output", F.lit("no form"))), 0)
+
+    stream_claims(spark, inbox, stored, fresh_path(spark, "stream-state"), judged).awaitTermination()
+    return latest_results(sinks.stored_results(spark, stored)).select("document_id", "status")

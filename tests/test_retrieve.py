@@ -49,6 +49,23 @@ def test_similarity_equals_brute_force(spark, vectors, k, block):
     assert sorted((r["query_id"], r["file_name"], r["pos"], r["rank"]) for r in got.collect()) == brute_topk(corpus, queries, k)
 
 
+def test_odd_vectors_take_no_part(spark, vectors):
+    corpus, queries = vectors
+    odd = [("odd", 1, None), ("odd", 2, [1.0] * 7), ("odd", 3, [None] * 8), ("odd", 4, [])]
+    got = retrieve.similarity_topk(
+        spark.createDataFrame(corpus + odd, VEC), spark.createDataFrame(queries + [("bad", None), ("short", [1.0])], QUERY), k=2
+    )
+    assert sorted((r["query_id"], r["file_name"], r["pos"], r["rank"]) for r in got.collect()) == brute_topk(corpus, queries, 2)
+
+
+def test_thousands_of_queries_in_small_blocks(spark):
+    rng = np.random.default_rng(2)
+    many = [(f"q{i:05d}", rng.normal(size=8).tolist()) for i in range(3000)]
+    corpus = [("f", i, v) for i, (_, v) in enumerate(many[:400])]
+    got = retrieve.similarity_topk(spark.createDataFrame(corpus, VEC), spark.createDataFrame(many, QUERY), k=1, block=100).collect()
+    assert len(got) == 3000 and all(r["similarity"] == pytest.approx(1.0) for r in got if int(r["query_id"][1:]) < 400)
+
+
 def test_no_queries_no_rows(spark, vectors):
     got = retrieve.similarity_topk(spark.createDataFrame(vectors[0], VEC), spark.createDataFrame([], QUERY))
     assert got.count() == 0 and "rank" in got.columns
