@@ -4,7 +4,7 @@ Groups keep their order and stay whole. The smallest capacity is sought for whic
 greedily, each up to the capacity, needs no more shards than asked. Under that capacity the cuts
 are made as near to equal parts as it allows, else the last shard would be left short.
 Everything that grows with the data is DataFrame work. The driver sees only a summary of group
-boundaries, at most ``CELLS`` rows a round: the summary is coarse at first, and only the
+boundaries, some ``CELLS`` rows a round: the summary is coarse at first, and only the
 stretches in which a cut can still fall are looked at more closely.
 """
 
@@ -110,13 +110,13 @@ class Boundaries:
                 spans[-1] = (spans[-1][0], b)
             else:
                 spans.append((a, b))
-        self.put([c for j, c in enumerate(self.cells) if j not in near] + _detail(bounds, spans))
+        self.put([c for j, c in enumerate(self.cells) if j not in near] + _detail(bounds, spans, max(CELLS, 8 * len(near))))
         self.open.clear()
 
 
-def _detail(bounds: DataFrame, spans: list[tuple[int, int]]) -> list[Cell]:
-    """The groups of the spans, summed up in at most ``CELLS`` cells."""
-    width = max(1, -(-sum(b - a for a, b in spans) // CELLS))
+def _detail(bounds: DataFrame, spans: list[tuple[int, int]], most: int) -> list[Cell]:
+    """The groups of the spans, summed up in about ``most`` cells."""
+    width = max(1, -(-sum(b - a for a, b in spans) // most))
     base = F.lit(None).cast("bigint")
     for a, b in spans:
         base = F.when((F.col("lo") >= a) & (F.col("lo") < b), F.lit(a)).otherwise(base)
@@ -128,7 +128,7 @@ def _detail(bounds: DataFrame, spans: list[tuple[int, int]]) -> list[Cell]:
         .withColumn("_base", base)
         .groupBy("_base", F.floor((F.col("lo") - F.col("_base")) / width).alias("_cell"))
         .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n"))
-        .collect()     # CELLS rows and one more for each span at most
+        .collect()     # as many rows, and one more for each span, at most
     )
     return [(r["lo"], r["hi"], r["n"] == 1) for r in rows]
 
