@@ -38,8 +38,9 @@ SELECT o.o_orderkey AS claim_no,
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
 """
 
+# the driver's tables come as one split each; documents are dealt to the cores as separate files would be
 VIEWS["claim_docs"] = """
-SELECT claim_no, document_id,
+SELECT /*+ REPARTITION */ claim_no, document_id,
        'INSURANCE CLAIM FORM' || chr(10) || chr(10)
        || CASE WHEN claim_no % 7 = 1 THEN '' ELSE 'Claimant Name: ' || claimant_name || chr(10) END
        || CASE WHEN claim_no % 7 = 2 THEN 'Policy Number:' ELSE 'Policy Number: ' || policy_number END || chr(10)
