@@ -8,8 +8,10 @@ by chance, and what the estimate does not rule out is verified on the full sets.
 Texts with equal sets are one class from the start, so copies cost nothing further. Links are found in
 two rounds. The first compares members of a band's bucket in chunks and verifies for each only its most
 likely partner, which joins nearly all of a group whatever its size. The second compares, over whole
-buckets, only members that are still in different components, and verifies where it compares. So no pair
-that matters is left out, and neither round makes a row for each pair.
+buckets, only members that are still in different components, and verifies where it compares. Whoever found
+nobody in the first takes part in the second where a bucket was split, as a partner may lie in another chunk.
+So no pair that matters is left out, and neither round makes a row for each pair; a bucket of M members that
+nothing joins makes some M * M / 128 rows, one for each member and chunk.
 """
 
 from __future__ import annotations
@@ -205,16 +207,26 @@ def _in_groups(rows: DataFrame, work: Callable[[Group], pa.RecordBatch | None],
 
 
 def _likeliest(groups: DataFrame) -> DataFrame:
-    """``a, b``: each member of a group with its likeliest earlier partner."""
+    """``a, b``: each member of a group with its likeliest earlier partner, or a later one where nothing else names it."""
     least = least_estimate()
 
     def work(group: Group) -> pa.RecordBatch:
         a, b = [], []
+        named = np.zeros(len(group.reps), dtype=bool)
+        best, later = np.zeros(len(group.reps)), np.full(len(group.reps), -1)
         for i in range(1, len(group.reps)):
             other, like = group.partners(i, np.arange(i), least)
             if len(other):
-                a.append(group.reps[other[np.argmax(like)]])
+                first = other[np.argmax(like)]
+                a.append(group.reps[first])
                 b.append(group.reps[i])
+                named[[first, i]] = True
+                better = other[like > best[other]]
+                best[other] = np.maximum(best[other], like)
+                later[better] = i
+        for i in np.flatnonzero(~named & (later >= 0)).tolist():
+            a.append(group.reps[i])
+            b.append(group.reps[later[i]])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return _in_groups(groups, work, "a bigint, b bigint").distinct()
@@ -286,14 +298,15 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     chunks = F.ceil(F.col("members") / CHUNK)
     likely = materialise(_likeliest(members.withColumn("part", F.pmod(F.xxhash64("rep", "key"), chunks))), "minhash-likely")
     ends = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    # whoever has any partner at all has a likeliest one, so these are all texts that either round needs
+    # whoever has a partner in its chunk is among these; in a bucket of one chunk that is whoever has one at all
     texts = materialise(
         docs.hint("merge").join(ends, F.col("doc_id") == F.col("rep")).select("rep", "text").dropDuplicates(["rep"]), "minhash-texts"
     )
     links = materialise(_verified(likely, texts), "minhash-links")
     known = connected_components(links)
 
-    tried = members.join(ends, "rep", "left_semi").join(known.withColumnRenamed("node", "rep"), "rep", "left")
+    tried = members.join(ends.withColumn("end", F.lit(True)), "rep", "left").where((F.col("members") > CHUNK) | F.col("end"))
+    tried = tried.join(known.withColumnRenamed("node", "rep"), "rep", "left")
     tried = tried.withColumn("component", F.coalesce("component", "rep"))
     sizes = tried.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = (
@@ -313,7 +326,11 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     groups = materialise(
         asking.unionByName(others).withColumn("part", F.col("lot") * wholes + F.col("whole")).select(*needed), "minhash-groups"
     )
-    undecided = groups.join(_undecided(groups), ["key", "part", "rep"]).join(texts, "rep").select(*needed, "text")
+    named = materialise(_undecided(groups), "minhash-undecided")
+    missing = materialise(named.select("rep").distinct().join(texts, "rep", "left_anti"), "minhash-missing")
+    more = docs.join(missing, F.col("doc_id") == F.col("rep")).select("rep", "text").dropDuplicates(["rep"])
+    texts = texts.unionByName(materialise(more, "minhash-more-texts"))
+    undecided = groups.join(named, ["key", "part", "rep"]).join(texts, "rep").select(*needed, "text")
     return links.unionByName(materialise(_decided(undecided).distinct(), "minhash-more"))
 
 

@@ -240,6 +240,32 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, chunk):
     assert got == brute_components(rows)
 
 
+def test_near_duplicates_across_the_chunks_of_a_bucket(spark, monkeypatch):
+    """Texts that are little more than a passage which many longer ones hold: their partners lie in other chunks."""
+    monkeypatch.setattr(minhash, "CHUNK", 1)
+    rows = []
+    for p in range(5):
+        passage = [f"p{p}w{k}" for k in range(304)]
+        rows += [(len(rows) + i, " ".join(passage + [f"p{p}t{i}w{k}" for k in range(n)])) for i, n in enumerate([200] * 60 + [43, 43])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute_components(rows)
+    assert all(want[62 * p + 61][1] == 62 * p + 60 for p in range(5))
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()} == want
+
+
+def test_every_member_with_a_partner_is_named(spark):
+    """Member 3 is like 1 and 2, which are not like each other: the less likely of them has no earlier partner."""
+    three = np.arange(minhash.REGISTERS, dtype=np.uint16) + 1
+    one, two = three.copy(), three.copy()
+    one[64:96] += 1000
+    two[96:126] += 1000
+    two[32:36] += 1000
+    key = int(minhash.band_keys(three[None]).view(np.int64)[0, 0])
+    rows = [(key, 0, i, 100, bytearray(r.tobytes())) for i, r in ((1, one), (2, two), (3, three))]
+    groups = spark.createDataFrame(rows, "key bigint, part bigint, rep bigint, n_shingles bigint, registers binary")
+    assert {x for r in minhash._likeliest(groups).collect() for x in (r.a, r.b)} == {1, 2, 3}
+
+
 def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     got = minhash.near_duplicates(odd_docs).collect()
     assert len(got) == 15
