@@ -1,4 +1,4 @@
-"""Scoring texts by an interpolated modified Kneser-Ney model of word pairs.
+"""Scoring texts by an interpolated modified Kneser-Ney model of word pairs or triples.
 
 Counting: a slice of texts becomes one message for each bucket of context words, with its distinct pairs
 and their counts. A bucket's task adds the messages up and writes sorted hash arrays to the shared folder:
@@ -8,6 +8,10 @@ hold; nothing is shuffled, and the arrays' pages are shared by all workers of a
 
 Very frequent contexts are dealt by their second word, so no bucket grows with them. Which ones
 these are is guessed from a sample; the guess changes where pairs are counted, not the counts.
+
+With order three, triples are counted first, by the same slices and buckets of their two context words. A pair's
+count is then that of its different words before, so each bucket of triples tells the buckets of pairs how many
+it has, as a slice of texts does with order two. A text begins with two beginnings.
 """
 
 from __future__ import annotations
@@ -63,6 +67,14 @@ class Tokens:
         self.context = np.concatenate([[begin], self.token[:-1]])
         self.context[self.first] = begin
 
+    def triples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Different contexts of two places, the different triples as context and word, how often each occurs, and the triple of each token."""
+        before = np.concatenate([self.context[:1], self.context[:-1]])
+        before[self.first] = self.context[self.first]
+        both, context = np.unique(before * len(self.words) + self.context, return_inverse=True)
+        keys, of_token, n = np.unique(context * len(self.words) + self.token, return_inverse=True, return_counts=True)
+        return both // len(self.words), both % len(self.words), keys // len(self.words), keys % len(self.words), n, of_token
+
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Different pairs as places of context and word, how often each occurs, and the pair of each token."""
         keys, of_token, n = np.unique(self.context * len(self.words) + self.token, return_inverse=True, return_counts=True)
@@ -103,8 +115,12 @@ def discounts(n: list[int]) -> list[float]:
 class Model:
     """Where the arrays lie, and the figures of the whole corpus."""
 
-    def __init__(self, uri: str, bits: int, heavy: np.ndarray) -> None:
+    def __init__(self, uri: str, bits: int, heavy: np.ndarray, heavy_pairs: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         self.uri, self.bits, self.heavy = uri, bits, heavy
+        #: With order three, the hashes of frequent pairs as contexts, sorted, and their second words.
+        self.heavy_pairs = heavy_pairs
+        self.triple_counts = [0] * 4
+        self.heavy_pair_sums = np.zeros((len(heavy_pairs[0]) if heavy_pairs else 0, 4), dtype=np.int64)
         self.tokens = self.types = self.pair_types = 0
         self.pair_counts, self.word_counts, self.word_classes = [0] * 4, [0] * 4, [0] * 3
         self.heavy_sums = np.zeros((len(heavy), 4), dtype=np.int64)
@@ -116,8 +132,7 @@ class Model:
         return (words >> np.uint64(WORD_BITS - self.bits)).astype(np.int64)
 
     def heavy_place(self, words: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.heavy, words), len(self.heavy) - 1)
-        return np.where(self.heavy[at] == words, at, -1)
+        return _place(self.heavy, words)
 
     def contexts(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each word's count; and as a context its total, and its successors that occur once, twice, more often."""
@@ -159,6 +174,31 @@ class Model:
                 n[at[there]] = values[found[there]]
         return n
 
+    def triple_logs(self, t: Tokens, lower: np.ndarray) -> np.ndarray:
+        """Logarithm of each token's probability after two words; ``lower`` is that after one."""
+        u, v, context, word, _, of_token = t.triples()
+        hashes, small = pair_hash(t.words[u], t.words[v]), short(t.words[word])
+        sums = np.zeros((len(hashes), 4), dtype=np.int64)
+        for b, at in in_buckets(self.bucket(hashes)):
+            found, values = look_up(self.uri, b, "couple", hashes[at])
+            there = found >= 0
+            if there.any():
+                sums[at[there]] = values[found[there]]
+        place = _place(self.heavy_pairs[0], hashes)
+        sums[place >= 0] = self.heavy_pair_sums[place[place >= 0]]
+        n, keys = np.zeros(len(word), dtype=np.int64), pair_hash(hashes[context], small)
+        for b, at in in_buckets(np.where(place[context] >= 0, self.bucket_of_short(small), self.bucket(hashes)[context])):
+            found, values = look_up(self.uri, b, "triple", keys[at])
+            there = found >= 0
+            if there.any():
+                n[at[there]] = values[found[there]]
+        d, total = np.array(discounts(self.triple_counts)), np.maximum(sums[:, 0], 1)
+        weight = np.where(sums[:, 0] > 0, sums[:, 1:] @ d[1:] / total, 1.0)
+        own = np.maximum(n - d[np.minimum(n, 3)], 0) / total[context]
+        after = np.zeros(len(word))
+        after[of_token] = lower
+        return np.log10(own + weight[context] * after)[of_token]
+
     def score(self, texts: list[bytes | None]) -> dict[str, np.ndarray]:
         """``n_tokens, n_known, base_score, score`` of each text; logarithms to base 10."""
         t = Tokens(texts)
@@ -169,7 +209,8 @@ class Model:
         total = np.maximum(sums[:, 0], 1)
         weight = np.where(sums[:, 0] > 0, sums[:, 1:] @ d[1:] / total, 1.0)
         own = np.maximum(n - d[np.minimum(n, 3)], 0) / total[context]
-        logs = np.log10(own + weight[context] * lower[word])
+        after_one = (own + weight[context] * lower[word])[of_token]
+        logs = self.triple_logs(t, after_one) if self.heavy_pairs else np.log10(after_one)
         base = np.log10((count + 1) / (self.tokens + 1 * (self.types + 1)))
         if not len(t.n):
             return {k: np.zeros(0) for k in ("n_tokens", "n_known", "base_score", "score")}
@@ -177,10 +218,92 @@ class Model:
             "n_tokens": t.n,
             "n_known": np.add.reduceat((count > 0).astype(np.int64)[t.token], t.first),
             "base_score": np.add.reduceat(base[t.token], t.first),
-            "score": np.add.reduceat(logs[of_token], t.first),
+            "score": np.add.reduceat(logs, t.first),
         }
 
 
+def _place(heavy: np.ndarray, sought: np.ndarray) -> np.ndarray:
+    """Places in the sorted, never empty ``heavy``; -1 where it is not there."""
+    at = np.minimum(np.searchsorted(heavy, sought), len(heavy) - 1)
+    return np.where(heavy[at] == sought, at, -1)
+
+
+def _triple_messages(model: Model, texts: list[bytes | None]) -> Iterator[tuple[int, bytes]]:
+    """What a slice of training texts tells each bucket of triples, and each bucket of words how often they occur."""
+    t = Tokens(texts)
+    u, v, context, word, n, _ = t.triples()
+    hashes, small = pair_hash(t.words[u], t.words[v]), short(t.words)
+    place = _place(model.heavy_pairs[0], hashes)
+    special = place[context] >= 0
+    count = np.bincount(t.token, minlength=len(t.words)).astype(np.uint32)
+    # light triples in the order of their contexts' hashes, which is that of the buckets
+    own = np.flatnonzero(place < 0)
+    own = own[np.argsort(hashes[own], kind="stable")]
+    rank = np.full(len(hashes), len(own))
+    rank[own] = np.arange(len(own))
+    light = np.flatnonzero(~special)
+    light = light[np.argsort(rank[context[light]], kind="stable")]
+    fan = np.bincount(rank[context[light]], minlength=len(own)).astype(np.uint32)
+    edges = np.arange((1 << model.bits) + 1)
+    cuts, word_cuts = np.searchsorted(model.bucket(hashes[own]), edges), np.searchsorted(model.bucket(t.words), edges)
+    triple_cuts = np.concatenate([[0], np.cumsum(fan, dtype=np.int64)])[cuts]
+    special = np.flatnonzero(special)
+    dealt = dict(in_buckets(model.bucket_of_short(small[word[special]])))
+    for b in range(1 << model.bits):
+        c, p, w = (slice(*x[b : b + 2]) for x in (cuts, triple_cuts, word_cuts))
+        at = special[dealt.get(b, np.zeros(0, dtype=np.int64))]
+        if c.stop > c.start or w.stop > w.start or len(at):
+            yield b, packed(
+                hashes[own[c]], t.words[v[own[c]]], fan[c], as_five(small[word[light[p]]]), n[light[p]].astype(np.uint32),
+                place[context[at]].astype(np.uint16), as_five(small[word[at]]), n[at].astype(np.uint32), t.words[w], count[w],
+            )
+
+
+def _merge_triples(model: Model, bucket: int, messages: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """Add up a bucket's triples and write its arrays; tells the buckets of pairs what slices of texts tell with order two, and -2 the figures."""
+    parts = list(zip(*(unpacked(m, 10) for m in messages)))
+    couples, seconds, fan, light_words, light_n, heavy, heavy_words, heavy_n, words, count = (np.concatenate(p) for p in parts)
+    context = np.concatenate([np.repeat(couples, fan), model.heavy_pairs[0][heavy]])
+    second = np.concatenate([np.repeat(seconds, fan), model.heavy_pairs[1][heavy]])
+    word = np.concatenate([from_five(light_words), from_five(heavy_words)])
+    keys, n, context, second, word = _summed(
+        pair_hash(context, word), np.concatenate([light_n, heavy_n]).astype(np.int64), context, second, word
+    )
+    store(model.uri, f"triple-keys-{bucket}", keys)
+    store(model.uri, f"triple-values-{bucket}", n if n.max(initial=0) >= 1 << 32 else n.astype(np.uint32))
+    own, place = np.unique(couples), _place(model.heavy_pairs[0], context)
+    rows, heavy_rows = np.zeros((len(own), 4), dtype=np.int64), np.zeros((len(model.heavy_pairs[0]), 4), dtype=np.int64)
+    for target, at, rest in ((rows, np.searchsorted(own, context), place < 0), (heavy_rows, place, place >= 0)):
+        np.add.at(target[:, 0], at[rest], n[rest])
+        for k in (1, 2, 3):
+            which = rest & (np.minimum(n, 3) == k)
+            np.add.at(target[:, k], at[which], 1)
+    store(model.uri, f"couple-keys-{bucket}", own)
+    store(model.uri, f"couple-values-{bucket}", rows if rows.max(initial=0) >= 1 << 32 else rows.astype(np.uint32))
+    yield -2, packed(np.array([int((n == k).sum()) for k in (1, 2, 3, 4)], dtype=np.int64), heavy_rows)
+    _, n, second, word = _summed(pair_hash(second, word), np.ones(len(word), dtype=np.int64), second, word)
+    place = model.heavy_place(second)
+    light = np.flatnonzero(place < 0)
+    light = light[np.argsort(second[light], kind="stable")]
+    contexts, fan = np.unique(second[light], return_counts=True)
+    words, count = _summed(words, count.astype(np.int64))
+    edges = np.arange((1 << model.bits) + 1)
+    cuts, word_cuts = np.searchsorted(model.bucket(contexts), edges), np.searchsorted(model.bucket(words), edges)
+    pair_cuts = np.concatenate([[0], np.cumsum(fan, dtype=np.int64)])[cuts]
+    special = np.flatnonzero(place >= 0)
+    dealt = dict(in_buckets(model.bucket_of_short(word[special])))
+    for b in range(1 << model.bits):
+        c, p, w = (slice(*x[b : b + 2]) for x in (cuts, pair_cuts, word_cuts))
+        at = special[dealt.get(b, np.zeros(0, dtype=np.int64))]
+        if c.stop > c.start or w.stop > w.start or len(at):
+            told, none = contexts[c], np.zeros(w.stop - w.start, dtype=np.uint32)
+            yield b, packed(
+                np.concatenate([told, words[w]]), np.concatenate([np.zeros(len(told), dtype=np.int64), count[w]]),
+                np.concatenate([fan[c].astype(np.uint32), none]), as_five(word[light[p]]), n[light[p]].astype(np.uint32),
+                place[at].astype(np.uint16), as_five(word[at]), n[at].astype(np.uint32),
+            )
+
+
 def _messages(model: Model, texts: list[bytes | None]) -> Iterator[tuple[int, bytes]]:
     """What a slice of training texts tells each bucket."""
     t = Tokens(texts)
@@ -255,8 +378,22 @@ def _merge_words(model: Model, bucket: int, messages: list[bytes]) -> bytes:
     return packed(np.array([int((n == k).sum()) for k in (1, 2, 3, 4)]), np.array([int((n == 1).sum()), int((n == 2).sum()), int((n > 2).sum())]))
 
 
-def train(texts: DataFrame, text: str = "text") -> Model:
-    """Count the pairs of all ``texts`` and write the model to the shared folder. NULL texts are empty texts."""
+def _heavy_pairs(t: Tokens, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that are frequent contexts in the sample, and that of two beginnings."""
+    u, v, context, _, n, _ = t.triples()
+    seen = np.bincount(context, weights=n, minlength=len(u))
+    frequent = np.argsort(-seen, kind="stable")[: HEAVY_WORDS - 1]
+    frequent = frequent[(seen[frequent] > len(t.token) / (1 << bits) / 8) & (seen[frequent] > 1)]
+    begin = np.array([BEGIN], dtype=np.uint64)
+    first, second = np.concatenate([t.words[u[frequent]], begin]), np.concatenate([t.words[v[frequent]], begin])
+    hashes, at = np.unique(pair_hash(first, second), return_index=True)
+    return hashes, second[at]
+
+
+def train(texts: DataFrame, text: str = "text", order: int = 2) -> Model:
+    """Count the pairs, with ``order`` 3 the triples, of all ``texts`` and write the model to the shared folder. NULL texts are empty texts."""
+    if order not in (2, 3):
+        raise ValueError(f"the order is 2 or 3, not {order}")
     spark = texts.sparkSession
     texts = texts.select(F.col(text).alias("text"))
     size, n = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("text")).first()
@@ -268,7 +405,7 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     frequent = np.argsort(-seen, kind="stable")[: HEAVY_WORDS - 1]
     frequent = frequent[(seen[frequent] > len(t.token) / (1 << bits) / 8) & (seen[frequent] > 1)]
     heavy = np.unique(np.concatenate([t.words[frequent], np.array([BEGIN], dtype=np.uint64)]))
-    model = Model(fresh_path(spark, "lm"), bits, heavy)
+    model = Model(fresh_path(spark, "lm"), bits, heavy, _heavy_pairs(t, bits) if order == 3 else None)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -282,11 +419,18 @@ def train(texts: DataFrame, text: str = "text") -> Model:
             yield from sent(held)
 
     def sent(held: list[bytes | None]) -> Iterator[pa.RecordBatch]:
-        for b, body in _messages(model, held):
+        for b, body in (_triple_messages if order == 3 else _messages)(model, held):
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([body], pa.large_binary())], ["bucket", "body"])
 
+    def merge_triples(group: pa.Table) -> pa.Table:
+        told = list(_merge_triples(model, group["bucket"][0].as_py(), group["body"].to_pylist()))
+        return pa.table({"bucket": pa.array([b for b, _ in told], pa.int64()), "body": pa.array([m for _, m in told], pa.binary())})
+
     def merge(group: pa.Table) -> pa.Table:
-        told = list(_merge_pairs(model, group["bucket"][0].as_py(), group["body"].to_pylist()))
+        bucket = group["bucket"][0].as_py()
+        if bucket < 0:      # figures, on their way
+            return pa.table({"bucket": [bucket], "body": pa.array([_merge_words(model, bucket, group["body"].to_pylist())], pa.binary())})
+        told = list(_merge_pairs(model, bucket, group["body"].to_pylist()))
         return pa.table({"bucket": pa.array([b for b, _ in told], pa.int64()), "body": pa.array([m for _, m in told], pa.binary())})
 
     def finish(group: pa.Table) -> pa.Table:
@@ -294,10 +438,15 @@ def train(texts: DataFrame, text: str = "text") -> Model:
         return pa.table({"bucket": [bucket], "body": pa.array([_merge_words(model, bucket, group["body"].to_pylist())], pa.binary())})
 
     schema = "bucket bigint, body binary"
-    told = texts.mapInArrow(tell, schema).groupBy("bucket").applyInArrow(merge, schema)
+    told = texts.mapInArrow(tell, schema)
+    if order == 3:
+        told = told.groupBy("bucket").applyInArrow(merge_triples, schema)
+    told = told.groupBy("bucket").applyInArrow(merge, schema)
     for r in told.groupBy("bucket").applyInArrow(finish, schema).toLocalIterator():     # a few numbers for each bucket
         first, second = (x.tolist() for x in unpacked(r["body"], 2))
-        if r["bucket"] < 0:
+        if r["bucket"] == -2:
+            model.triple_counts, model.heavy_pair_sums = first, np.array(second, dtype=np.int64)
+        elif r["bucket"] < 0:
             model.pair_counts, (model.tokens, model.types, model.pair_types) = first[:4], first[4:]
             model.heavy_sums = np.array(second, dtype=np.int64)
         else:
@@ -329,15 +478,20 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(apply, out)
 
 
-def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op6_kneser_ney(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = fold_of(F.col("doc_id"), 7) == 2
-    model = train(docs.where(~held_out))
+    model = train(docs.where(~held_out), order=order)
     return score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
 
 
+def op6_kneser_ney_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with order three, as production has it; the SQL of ``op6_kneser_ney`` fixes two there."""
+    return op6_kneser_ney(spark, sf_dir, order=3)
+
+
 def _discount_sql(k: int) -> str:
     usual = f"{k} - {k + 1} * (n1::DOUBLE / (n1 + 2 * n2)) * n{k + 1}::DOUBLE / n{k}"
     return f"least(greatest(CASE WHEN n1 > 0 AND n{k} > 0 THEN {usual} ELSE {k / 2} END, {LEAST_DISCOUNT}), {k})::DOUBLE AS d{k}"

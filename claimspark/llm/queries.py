@@ -21,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_cnn_lang": langid.op10_byte_cnn_lang,
 }
 
+#: Beside the one query of each operator: the same over more.
+BESIDE: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_kneser_ney_three": lm.op6_kneser_ney_three}
+
 ORACLES: dict[str, str] = {
     "op1_host_reputation": urls.SQL,
     "op2_golden_mix": mixing.SQL,

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -154,6 +155,38 @@ def test_scores_match_brute_force(spark, monkeypatch, slice_text):
         assert got[i] == pytest.approx(want, rel=1e-9)
 
 
+@pytest.mark.parametrize("slice_text", [lm.SLICE_TEXT, 500])
+def test_scores_of_order_three_match_brute_force(spark, monkeypatch, slice_text):
+    monkeypatch.setattr(lm, "SLICE_TEXT", slice_text)
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{min(rng.randrange(1, 30), rng.randrange(1, 30))}" for _ in range(rng.choice([0, 1, 2, 40])))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    c3 = Counter(g for i, t in rows if i % 4 for g in zip(["B", "B", *t.split()], ["B", *t.split()], [*t.split(), "E"]))
+    c2 = Counter((v, w) for _, v, w in c3)
+    c1 = Counter(w for _, w in c2)
+    d3, d2, d1 = (lm.discounts([sum(k == j for k in c.values()) for j in (1, 2, 3, 4)]) for c in (c3, c2, c1))
+    types = len(c1)
+
+    def step(counts, d, context, key, lower):
+        of = [n for k, n in counts.items() if k[:-1] == context]
+        if not of:
+            return lower
+        return max(counts[key] - d[min(counts[key], 3)], 0) / sum(of) + sum(d[min(n, 3)] for n in of) / sum(of) * lower
+
+    def log_of(text):
+        total, w = 0, text.split()
+        for u, v, x in zip(["B", "B", *w], ["B", *w], [*w, "E"]):
+            p = max(c1[x] - d1[min(c1[x], 3)], 0) / len(c2) + sum(d1[min(n, 3)] for n in c1.values()) / len(c2) / (types + 1)
+            total += np.log10(step(c3, d3, (u, v), (u, v, x), step(c2, d2, (v,), (v, x), p)))
+        return total
+
+    got = {r.doc_id: r for r in lm.score(docs, lm.train(docs.where("doc_id % 4 > 0"), order=3)).collect()}
+    plain = {r.doc_id: r for r in lm.score(docs, lm.train(docs.where("doc_id % 4 > 0"))).collect()}
+    for i, t in rows:
+        assert got[i].score == pytest.approx(log_of(t), abs=1e-9)
+        assert got[i][:5] == plain[i][:5]
+
+
 def test_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a c", "b a", "c c b", "d"])], "doc_id bigint, text string")
     model = lm.train(docs)
@@ -243,14 +276,21 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, chunk):
 def test_near_duplicates_across_the_chunks_of_a_bucket(spark, monkeypatch):
     """Texts that are little more than a passage which many longer ones hold: their partners lie in other chunks."""
     monkeypatch.setattr(minhash, "CHUNK", 1)
-    rows = []
-    for p in range(5):
-        passage = [f"p{p}w{k}" for k in range(304)]
-        rows += [(len(rows) + i, " ".join(passage + [f"p{p}t{i}w{k}" for k in range(n)])) for i, n in enumerate([200] * 60 + [43, 43])]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    want = brute_components(rows)
-    assert all(want[62 * p + 61][1] == 62 * p + 60 for p in range(5))
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()} == want
+    rng = np.random.default_rng(5)
+    words, docs, classes = [f"p{k}" for k in range(104)], [], []
+    for g in range(0, 600, 200):
+        shared = rng.integers(1, 60_000, minhash.REGISTERS)
+        for i in range(100):
+            r = shared.copy()
+            r[96:] = rng.integers(1, 60_000, 32)
+            # the first two are as long as each other, all others too long for them and for one another
+            classes.append((g + i, 109 if i < 2 else int(109 * 1.4**i), bytearray(r.astype(np.uint16).tobytes())))
+        docs += [(g + i, " ".join([f"g{g}", *words, *(f"t{g + i}w{k}" for k in range(4))])) for i in range(2)]
+    links = minhash._links(
+        spark.createDataFrame(docs, "doc_id bigint, text string"),
+        spark.createDataFrame(classes, "rep bigint, n_shingles bigint, registers binary"),
+    )
+    assert {(r.a, r.b) for r in links.collect()} == {(0, 1), (200, 201), (400, 401)}
 
 
 def test_every_member_with_a_partner_is_named(spark):
