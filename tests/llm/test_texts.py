@@ -278,19 +278,21 @@ def test_near_duplicates_across_the_chunks_of_a_bucket(spark, monkeypatch):
     monkeypatch.setattr(minhash, "CHUNK", 1)
     rng = np.random.default_rng(5)
     words, docs, classes = [f"p{k}" for k in range(104)], [], []
-    for g in range(0, 600, 200):
+    for g in (0, 200):
         shared = rng.integers(1, 60_000, minhash.REGISTERS)
-        for i in range(100):
+        for i in range(40):
             r = shared.copy()
             r[96:] = rng.integers(1, 60_000, 32)
             # the first two are as long as each other, all others too long for them and for one another
             classes.append((g + i, 109 if i < 2 else int(109 * 1.4**i), bytearray(r.astype(np.uint16).tobytes())))
         docs += [(g + i, " ".join([f"g{g}", *words, *(f"t{g + i}w{k}" for k in range(4))])) for i in range(2)]
+    # the pair of the second group is dealt to different chunks in every band it shares
+    docs, classes = [d for d in docs if d[0] >= 200], [c for c in classes if c[0] >= 200]
     links = minhash._links(
         spark.createDataFrame(docs, "doc_id bigint, text string"),
         spark.createDataFrame(classes, "rep bigint, n_shingles bigint, registers binary"),
     )
-    assert {(r.a, r.b) for r in links.collect()} == {(0, 1), (200, 201), (400, 401)}
+    assert {(r.a, r.b) for r in links.collect()} == {(200, 201)}
 
 
 def test_every_member_with_a_partner_is_named(spark):
