@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspark.llm import ann, decontaminate, langid, lm, minhash, mixing, sharding, suffixes, tokens, urls
+from claimspark.llm import ann, decontaminate, langid, lm, minhash, mixing, negatives, sharding, suffixes, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_reputation": urls.op1_host_reputation,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_leaks": decontaminate.op8_prefix_leaks,
     "op9_minimax_shards": sharding.op9_minimax_shards,
     "op10_byte_cnn_lang": langid.op10_byte_cnn_lang,
+    "op11_hilbert_negatives": negatives.op11_hilbert_negatives,
 }
 
 #: Beside the one query of each operator: the same over more.
@@ -32,4 +33,5 @@ ORACLES: dict[str, str] = {
     "op7_hyperminhash": minhash.SQL,
     "op8_prefix_leaks": decontaminate.SQL,
     "op9_minimax_shards": sharding.SQL,
+    "op11_hilbert_negatives": negatives.SQL,
 }
