@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspark.llm import ann, decontaminate, langid, lm, minhash, mixing, negatives, packing, sharding, suffixes, tokens, urls
+from claimspark.llm import alignment, ann, decontaminate, langid, lm, minhash, mixing, negatives, packing, sharding, suffixes, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_reputation": urls.op1_host_reputation,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minimax_shards": sharding.op9_minimax_shards,
     "op10_byte_cnn_lang": langid.op10_byte_cnn_lang,
     "op11_hilbert_negatives": negatives.op11_hilbert_negatives,
+    "op12_diagonal_alignment": alignment.op12_diagonal_alignment,
     "op13_online_packing": packing.op13_online_packing,
 }
 
