@@ -162,16 +162,88 @@ def _first(threshold_rows: int, by: list[str]) -> Column:
     return F.when(cum >= threshold_rows, F.col("lb"))
 
 
-def _scored(anchors: DataFrame, needed: DataFrame, blocked: DataFrame) -> DataFrame:
-    """Exact scores of the rows of the needed blocks for each anchor; the anchor's own row is left out."""
+ANCHORS_PER_GROUP = 2048   # anchors that meet one block in one group
+_BIG = (1 << 63) - 1
+
+
+def _stack(vectors) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows of equal length stacked: length -> (row indexes, int64 matrix)."""
+    by_len: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        by_len.setdefault(len(v), []).append(i)
+    return {n: (np.asarray(ix), np.stack([np.asarray(vectors[i], dtype=np.int64) for i in ix]) if n else np.zeros((len(ix), 0), np.int64))
+            for n, ix in by_len.items()}
+
+
+def _top_in_blocks(keep: int, windows: bool):
+    """Exact scores of one block's rows against the anchors that need it, as integer matrix products.
+
+    Only each anchor's first ``keep`` rows leave the group (per window of negative scores if ``windows``);
+    the anchor's own row is no candidate, and vectors of another length than the anchor's have no score.
+    """
+    def run(a: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(a) and len(r):
+            rows_by_len = _stack(list(r["q"]))
+            vid_key = r["vkey"].to_numpy(dtype=np.int64)
+            vnull = r["vnull"].to_numpy(dtype=bool)
+            rid = r["rid"].to_numpy(dtype=np.int64)
+            anchors_by_len = _stack(list(a["a_q"]))
+            for n, (aix, amat) in anchors_by_len.items():
+                if n not in rows_by_len:
+                    continue
+                rix, rmat = rows_by_len[n]
+                scores = amat @ rmat.T
+                for k, i in enumerate(aix):
+                    s = scores[k]
+                    ok = rid[rix] != a["a_rid"].iat[i]
+                    tests = [(None, None, ok)]
+                    if windows:
+                        tests = [
+                            (p_rid, ps, ok & (LOW * ps <= 100 * s) & (100 * s <= HIGH * ps))
+                            for p_rid, ps in zip(a["p_rids"].iat[i], a["p_scores"].iat[i])
+                        ]
+                    for p_rid, ps, mask in tests:
+                        idx = np.flatnonzero(mask)
+                        if not len(idx):
+                            continue
+                        order = np.lexsort((rid[rix][idx], vid_key[rix][idx], -s[idx]))[:keep]
+                        for j in idx[order]:
+                            row = rix[j]
+                            out.append((int(a["a_rid"].iat[i]), p_rid, ps, int(rid[row]),
+                                        None if vnull[row] else int(vid_key[row]), int(s[j])))
+        return pd.DataFrame(out, columns=["a_rid", "p_rid", "positive_score", "rid", "vec_id", "score"])
+
+    return run
+
+
+_TOP = "a_rid long, p_rid long, positive_score long, rid long, vec_id long, score long"
+
+
+def _scored(anchors: DataFrame, needed: DataFrame, blocked: DataFrame, keep: int, windows: DataFrame | None = None) -> DataFrame:
+    """The first ``keep`` rows of each needed block for each anchor (and window): ``a_rid, [p_rid, positive_score,] rid, vec_id, score``."""
+    n_anchors = needed.select("a_rid").distinct().count()
+    groups = max(1, -(-n_anchors // ANCHORS_PER_GROUP))
     a = anchors.select(F.col("rid").alias("a_rid"), F.col("q").alias("a_q"))
-    rows = blocked.select("block", "label", "rid", "vec_id", "q")
-    return (
-        needed.join(a, "a_rid")
-        .join(rows, ["block", "label"])
-        .where(F.col("rid") != F.col("a_rid"))
-        .select("a_rid", "anchor_id", "a_label", "label", "rid", "vec_id", _dot(F.col("a_q"), F.col("q")).alias("score"))
+    if windows is not None:
+        a = a.join(
+            windows.groupBy("a_rid").agg(F.collect_list("p_rid").alias("p_rids"), F.collect_list("positive_score").alias("p_scores")),
+            "a_rid",
+        )
+    else:
+        a = a.select("*", F.array().cast("array<long>").alias("p_rids"), F.array().cast("array<long>").alias("p_scores"))
+    need = materialise(
+        needed.select("a_rid", "block", "label").withColumn("g", F.pmod(F.xxhash64("a_rid"), F.lit(groups))), "negatives-needed"
     )
+    left = need.join(a, "a_rid")
+    right = blocked.select(
+        "block", "label", "rid", F.coalesce("vec_id", F.lit(_BIG)).alias("vkey"), F.col("vec_id").isNull().alias("vnull"), "q"
+    ).join(need.select("block", "label", "g").distinct(), ["block", "label"])
+    keys = ["block", "label", "g"]
+    # both sides come from one written table: new names keep the grouping keys apart
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_top_in_blocks(keep, windows is not None), _TOP)
 
 
 def mine_negatives(
@@ -194,7 +266,8 @@ def mine_negatives(
     wanted = cut.where(F.col("t").isNull() | (F.col("ub") >= F.col("t"))).select("a_rid", "anchor_id", "a_label", "block", "label")
     order = [F.col("score").desc(), F.col("vec_id").asc_nulls_last(), F.col("rid")]
     best = (
-        _scored(anchors, wanted, blocked)
+        _scored(anchors, wanted, blocked, positives)
+        .join(wanted.select("a_rid", "anchor_id", "a_label").distinct(), "a_rid")
         .withColumn("r", F.row_number().over(Window.partitionBy("a_rid").orderBy(*order)))
         .where(F.col("r") <= positives)
         .select("a_rid", "anchor_id", "a_label", F.col("vec_id").alias("positive_id"), F.col("rid").alias("p_rid"),
@@ -214,16 +287,11 @@ def mine_negatives(
     meet = meet.withColumn("t", _first(negatives, ["a_rid", "p_rid"])).withColumn(
         "t", F.max("t").over(Window.partitionBy("a_rid", "p_rid"))
     )
-    wanted = (
-        meet.where(F.col("t").isNull() | (F.col("ub") >= F.col("t")))
-        .select("a_rid", "block", "label").distinct()
-        .join(best.select("a_rid", "anchor_id", "a_label").distinct(), "a_rid")
-    )
-    found = _scored(anchors, wanted, blocked).where(F.col("label") != F.col("a_label"))
-    in_window = found.join(windows, "a_rid").where(
-        (LOW * F.col("positive_score") <= 100 * F.col("score")) & (100 * F.col("score") <= HIGH * F.col("positive_score"))
+    wanted = meet.where(F.col("t").isNull() | (F.col("ub") >= F.col("t"))).select("a_rid", "block", "label").distinct()
+    found = _scored(anchors, wanted, blocked, negatives, windows).join(
+        best.select("a_rid", "anchor_id").distinct(), "a_rid"
     )
-    ranked = in_window.withColumn(
+    ranked = found.withColumn(
         "rank", F.row_number().over(Window.partitionBy("a_rid", "p_rid").orderBy(*order))
     ).where(F.col("rank") <= negatives)
     return ranked.join(best.select("a_rid", "p_rid", "positive_id"), ["a_rid", "p_rid"]).select(
