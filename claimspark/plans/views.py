@@ -137,6 +137,37 @@ SELECT 'policy_' || lpad(CAST(s_suppkey AS STRING), 9, '0') || '.txt' AS file_na
 FROM supplier
 """
 
+# the policies as an earlier snapshot held them: other limits, paragraphs in another order, one missing, one dropped since
+VIEWS["policies_before"] = """
+SELECT 'policy_' || lpad(CAST(s_suppkey AS STRING), 9, '0') || '.txt' AS file_name,
+       CASE s_suppkey % 3 WHEN 0 THEN 'Auto' WHEN 1 THEN 'Property' ELSE 'Health' END
+         || ' Policy Coverage Summary of ' || s_name || chr(10) || chr(10)
+       || CASE WHEN s_suppkey % 6 = 5 THEN 'Legacy clause: claims are paid by cheque.' || chr(10) || chr(10) ELSE '' END
+       || CASE WHEN s_suppkey % 4 = 2 THEN
+            'Exclusions: ' || CASE WHEN s_suppkey % 5 = 0 THEN 'other claim limits and exclusions apply'
+              ELSE 'claims later than ' || CAST(30 + s_suppkey % 11 AS STRING) || ' days' END || '.' || chr(10) || chr(10)
+          ELSE '' END
+       || CASE s_suppkey % 3 WHEN 0 THEN 'Own Damage Cover: auto repairs' WHEN 1 THEN 'Water Damage Cover: property repairs'
+          ELSE 'Hospitalization Cover: health expenses' END
+       || ' are covered' || chr(10) || 'up to INR '
+       || CAST(10000 * (1 + s_suppkey % 50) + CASE WHEN s_suppkey % 4 = 1 THEN 5000 ELSE 0 END AS STRING)
+       || CASE WHEN s_suppkey % 2 = 0 THEN ', the claim limits of nation ' || CAST(s_nationkey AS STRING) ELSE '' END
+       || '.' || chr(10) || chr(10)
+       || CASE WHEN s_suppkey % 4 = 3 THEN '' ELSE 'Documentation Required: every claim above INR '
+          || CAST(1000 * (1 + s_suppkey % 7) AS STRING) || ' needs a report for coverage.' || chr(10) || chr(10) END
+       || CASE WHEN s_suppkey % 4 = 2 THEN '' ELSE 'Exclusions: ' || CASE WHEN s_suppkey % 5 = 0 THEN 'other claim limits and exclusions apply'
+          ELSE 'claims later than ' || CAST(30 + s_suppkey % 11 AS STRING) || ' days' END || '.' END AS text
+FROM supplier
+"""
+
+# versions of each policy: three, activated 700 days apart from a day that the customer decides
+VIEWS["policy_versions"] = f"""
+SELECT {_KIND.format('AUTO', 'PROP', 'HLTH', 'MISC')} || '-TN-' || lpad(CAST(c.c_custkey AS STRING), 9, '0') AS policy_number,
+       CAST(v AS INT) AS version,
+       CAST(DATE '1992-01-01' + CAST(c.c_custkey * 37 % 700 + v * 700 AS INT) AS DATE) AS activated
+FROM (SELECT *, each_of(0, 1, 2) AS v FROM customer) c
+"""
+
 VIEWS["policy_chunks"] = """
 SELECT file_name, CAST(row_number() OVER (PARTITION BY file_name ORDER BY n) - 1 AS INT) AS pos, chunk
 FROM (SELECT file_name, n, regexp_replace(piece, '^\\s+|\\s+$', '', 'g') AS chunk
