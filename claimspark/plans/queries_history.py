@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.operators import history, snapshots
+from claimspark.operators import history, redact, snapshots
 from claimspark.plans.registry import query
 from claimspark.plans.views import table
 from claimspark.sources.files import chunk_paragraphs
@@ -95,3 +95,15 @@ def shared_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "claim_amount", F.col("n_claims").cast("bigint"), F.col("n_policies").cast("bigint"), "first_claim"
     )
+
+
+# no SQL: the recognisers' check digits and the leftmost-longest rule are tested on planted cases in tests/test_history.py
+@query()
+def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with its personal data replaced by keyed pseudonyms: what was found, and a digest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", redact.redacted(F.col("text")).alias("r"))
+    return docs.select(
+        "doc_id", F.size("r.finds").cast("bigint").alias("n_finds"),
+        F.array_join(F.array_sort(F.array_distinct(F.col("r.finds.kind"))), ",").alias("kinds"),
+        F.sha2(F.col("r.redacted"), 256).alias("redacted_sha256"),
+    )

@@ -150,3 +150,41 @@ def test_shared_amounts(spark):
     df = spark.createDataFrame(rows, "claim long, policy string, amount double")
     got = [tuple(r) for r in history.shared_amounts(df, "amount", "policy", "claim").collect()]
     assert got == [(10.0, 3, 2, 1)]
+
+
+def test_check_digits():
+    from claimspark.operators import redact
+
+    assert redact.luhn_ok("4539578763621486") and not redact.luhn_ok("4539578763621487")
+    # every single changed digit and every swap of neighbours is caught by Verhoeff
+    base = "234123412346"
+    ok = [d for d in "0123456789" if redact.verhoeff_ok(base[:-1] + d)]
+    assert len(ok) == 1
+    good = base[:-1] + ok[0]
+    assert all(not redact.verhoeff_ok(good[:i] + d + good[i + 1:]) for i in range(12) for d in "0123456789" if d != good[i])
+    assert all(not redact.verhoeff_ok(good[:i] + good[i + 1] + good[i] + good[i + 2:]) for i in range(11) if good[i] != good[i + 1])
+
+
+def test_redaction_overlaps_and_pseudonyms(spark):
+    from claimspark.operators import redact
+
+    card = "4539 5787 6362 1486"
+    text = (f"mail a.b-7@x.example.com or call +91 98765 43210; card {card}; not a card 4539578763621487; "
+            f"ip 10.0.0.255 but 300.1.1.1 no; AUTO-TN-000000123 next to key 0123456789abcdef0123456789abcdef.")
+    out, finds = redact.redact_text(text)
+    kinds = [f[0] for f in finds]
+    assert kinds == ["EMAIL", "PHONE", "CARD", "IPV4", "POLICY", "SECRET"]
+    for kind, start, end, name in finds:
+        assert name == redact.pseudonym(kind, text[start:end], redact.DEFAULT_KEY)
+    assert text[finds[2][1]:finds[2][2]] == card and "4539578763621487" in out
+    # leftmost-longest: an address whose local part is an IP-like run is one e-mail
+    _, f2 = redact.redact_text("1.2.3.4@host.example.org")
+    assert [f[0] for f in f2] == ["EMAIL"]
+    # adjacent finds stay apart
+    _, f3 = redact.redact_text("10.0.0.1 10.0.0.2")
+    assert [(f[1], f[2]) for f in f3] == [(0, 8), (9, 17)]
+    df = spark.createDataFrame([(1, text), (2, "again " + card), (3, None), (4, "")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in df.select("doc_id", redact.redacted(F.col("text")).alias("r")).collect()}
+    assert rows[1].r.redacted == out and rows[3].r.redacted is None and rows[4].r.finds == []
+    assert rows[2].r.finds[0].pseudonym == finds[2][3]
+    assert redact.pseudonym("CARD", card, "another key") != finds[2][3]
