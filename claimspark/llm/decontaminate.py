@@ -39,7 +39,9 @@ class Windows:
         for (item, _), a, b in zip(items, w.offsets[:-1], w.offsets[1:]):
             size = min(window, b - a)
             for s in range(a, b - size + 1) if size else ():
-                found.setdefault(w.hashes[s : s + size].tobytes(), []).append(item)
+                named = found.setdefault(w.hashes[s : s + size].tobytes(), [])
+                if item is not None:       # an item without an id hits, but has no name to give
+                    named.append(item)
         keys = list(found)
         self.items = [sorted(set(found[k])) for k in keys]
         self.length = np.array([len(k) // 8 for k in keys], dtype=np.int64)
@@ -167,10 +169,10 @@ def find_leaks(
     ``hits``: disjoint spans of words (``first`` to ``last``, from 0) covered by windows of items;
     ``items``: sorted ids of the items with a window in the text. NULL and empty texts have no words and
     no hits; items without words have no windows; repeated rows are judged each; equal items are all
-    named; NULL item ids are passed over. Without items nothing is hit. Columns of ``docs`` with the
+    named; an item with a NULL id hits like any other, but is left out of ``items``. Without items nothing is hit. Columns of ``docs`` with the
     names of the new ones are replaced. Benchmarks larger than ``block_bytes`` are worked through in blocks.
     """
-    some = items.select(F.col(item).alias("item"), F.col("text")).where("item is not null and text is not null")
+    some = items.select(F.col(item).alias("item"), F.col("text")).where("text is not null")
     size = some.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-size // (block_bytes // 2)))
     stored = some if blocks == 1 else materialise(some, "benchmark")
@@ -208,7 +210,7 @@ WITH d AS (
   FROM documents
 ), i AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+  FROM benchmark WHERE text IS NOT NULL
 ), v AS (
   SELECT item_id, least(10, len(w)) AS n, unnest(list_transform(range(1, greatest(1, len(w) - 8)::BIGINT), lambda k: array_to_string(w[k : k + least(10, len(w)) - 1], ' '))) AS win
   FROM i WHERE len(w) > 0
@@ -222,7 +224,7 @@ WITH d AS (
   SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM m) GROUP BY r
 ), named AS (
   SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
-  FROM (SELECT DISTINCT r, item_id FROM m) GROUP BY r
+  FROM (SELECT DISTINCT r, item_id FROM m WHERE item_id IS NOT NULL) GROUP BY r
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

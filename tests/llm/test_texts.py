@@ -351,16 +351,16 @@ def brute_leaks(docs, items, window):
     for i, t in items:
         w = split(t)
         n = min(window, len(w))
-        for k in range(len(w) - n + 1) if n and i is not None else ():
+        for k in range(len(w) - n + 1) if n else ():
             windows.setdefault(tuple(w[k : k + n]), set()).add(i)
     out = {}
     for i, t in docs:
         w, hit, found = split(t), set(), set()
         for n in {len(x) for x in windows}:
             for k in range(len(w) - n + 1):
-                if named := windows.get(tuple(w[k : k + n])):
+                if (named := windows.get(tuple(w[k : k + n]))) is not None:
                     hit.update(range(k, k + n))
-                    found |= named
+                    found |= named - {None}
         out[i] = (len(w), len(hit), sorted(found))
     return out
 
@@ -396,6 +396,18 @@ def test_leaks_of_odd_rows(spark, odd_docs, no_docs):
     assert decontaminate.find_leaks(odd_docs, items.limit(0)).where("size(hits) > 0").count() == 0
 
 
+def test_leaks_of_items_without_id(spark):
+    """An item without an id hits the documents that hold it, but gives no name."""
+    item = " ".join(f"w{i}" for i in range(14))
+    docs = spark.createDataFrame([(1, "x " + item + " y"), (2, "nothing here")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, item), (5, "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9")], "item_id bigint, text string")
+    got = {r.doc_id: r for r in decontaminate.find_leaks(docs, items).collect()}
+    assert [(h.first, h.last) for h in got[1].hits] == [(1, 14)] and got[1]["items"] == [5]
+    alone = spark.createDataFrame([(None, item)], "item_id bigint, text string")
+    got = {r.doc_id: r for r in decontaminate.find_leaks(docs, alone).collect()}
+    assert [(h.first, h.last) for h in got[1].hits] == [(1, 14)] and got[1]["items"] == [] and got[2].hits == []
+
+
 # ---------------------------------------------------------------- mixing, sharding
 
 
