@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark.llm.common import process_cache, slices, table
+from claimspark.llm.tokens import SAFE, _byte_level, balanced
 from claimspark.session import materialise
 
 LENGTH = 1024         # ids of a sequence
 OPEN = 16             # open sequences a task keeps
 MERGE_TASKS = 64      # tasks whose open sequences are merged in one group
 BATCH_BYTES = 1 << 20
+KNOWN_BYTES = 64 << 20   # pieces and their ids that a worker remembers
 END_ID = 0
 
 PIECES = pa.schema([
@@ -46,16 +48,51 @@ OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, se
 PIECES_DDL = OUT + ", task long, open boolean"
 
 
-def _tokenizer(path: str):
-    known = process_cache("packing-tokenizers")
-    if path not in known:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+class Ids:
+    """Ids of whole texts as the library gives them, each different piece encoded once per worker.
+
+    Where the tokenizer is plain byte-level BPE, a text is cut before each space that stands between two
+    characters that are not white space; no token reaches across such a place, so the ids of the pieces,
+    one after the other, are the ids of the text. Pieces already seen are looked up; the look-up table is
+    emptied when it holds ``KNOWN_BYTES``. Other tokenizers encode whole texts.
+    """
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"       # Spark's tasks are the parallelism
         import tokenizers
 
-        model = tokenizers.Tokenizer.from_file(path)
-        model.no_truncation()
-        model.no_padding()
-        known[path] = model
+        self.model = tokenizers.Tokenizer.from_file(path)
+        self.model.no_truncation()
+        self.model.no_padding()
+        self.safe = _byte_level(self.model)
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.size = 0
+
+    def _learn(self, pieces: list[str]) -> None:
+        for group in balanced([len(p) for p in pieces], BATCH_BYTES):
+            some = [pieces[j] for j in group]
+            for piece, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[piece] = tuple(e.ids)
+                self.size += len(piece) + 8 * len(e.ids) + 64
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        if not self.safe:
+            return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        cut = [SAFE.split(t) for t in texts]
+        new = {p for pieces in cut for p in pieces}.difference(self.known)
+        if self.size + sum(len(p) for p in new) * 3 > KNOWN_BYTES:
+            self.known.clear()
+            self.size = 0
+            new = {p for pieces in cut for p in pieces}
+        self._learn(list(new))
+        known = self.known
+        return [[i for p in pieces for i in known[p]] for pieces in cut]
+
+
+def _tokenizer(path: str) -> Ids:
+    known = process_cache("packing-tokenizers")
+    if path not in known:
+        known[path] = Ids(path)
     return known[path]
 
 
@@ -119,7 +156,7 @@ def _pack_task(path: str, length: int, open_max: int):
         packer = Packer(length, open_max, task << 32)
         for part in slices(batches, "text", BATCH_BYTES):
             texts = [t or "" for t in part.column("text").to_pylist()]
-            ids = [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = model.encode(texts)
             closed = []
             for doc_id, some in zip(part.column("doc_id").to_pylist(), ids):
                 whole = np.asarray([*some, END_ID], dtype=np.uint32)

@@ -79,3 +79,16 @@ def test_packer_is_bounded():
 
 def test_empty(spark, path, no_docs):
     assert packing.pack_documents(no_docs, path).collect() == []
+
+
+def test_ids_of_pieces_are_the_library_ids(path, odd_docs):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    texts = [r.text or "" for r in odd_docs.collect()] + [
+        "a <|endoftext|> b<|endoftext|>c", "x  y\\n z \\t w", "  lead and trail  ", "数据 和 文本", "it's 12,345.6 ok?!",
+    ]
+    ids = packing.Ids(path)
+    assert ids.safe
+    for _ in range(2):      # second time from the table of known pieces
+        assert ids.encode(texts) == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
