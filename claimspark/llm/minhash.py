@@ -341,10 +341,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     on the full sets. ``component_id`` is the smallest id that links lead to; ``kept`` marks it.
     NULL and empty texts have no set and are linked with nothing. Equal texts, and texts with equal sets, are
     linked however short. Repeated rows of an id are one document: each of them is kept or dropped alike. A
-    NULL id takes part by its set alone; it stays only where its whole component has no id. An empty table gives
-    no rows; other columns are not read.
+    row with a NULL id takes part under a stand-in id above all ids, drawn from its text (so NULL-id rows with
+    equal texts are one document): it links like any other, its ``doc_id`` and a ``component_id`` that is a
+    stand-in are NULL again in the result, and it is kept only as the least stand-in of a component without
+    any id. Ids must lie below 2^62. An empty table gives no rows; other columns are not read.
     """
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    top = docs.agg(F.max("doc_id")).first()[0]
+    top = -1 if top is None else top
+    stand_in = F.lit(top + 1) + F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.lit(1 << 62))
+    docs = docs.withColumn("doc_id", F.coalesce(F.col("doc_id"), stand_in))
     drawn = materialise(sketches(docs, "doc_id", "text"), "minhash-sketches")
     sets = drawn.where("n_shingles > 0")
     same = ["f1", "f2", "n_shingles"]
@@ -359,7 +365,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     judged = sets.select("doc_id", *same).join(of_class, same).select("doc_id", "n_shingles", "component_id")
     alone = drawn.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return judged.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    back = lambda c: F.when(F.col(c) <= top, F.col(c)).alias(c)
+    return judged.unionByName(alone).select(
+        back("doc_id"), "n_shingles", back("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept")
+    )
 
 
 def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -319,6 +319,20 @@ def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
 
 
+def test_near_copies_without_ids(spark):
+    """Rows without an id link like any other; a component with an id keeps only that id."""
+    base = " ".join(f"w{i}" for i in range(40))
+    near = base + " extra"
+    rows = [(1, base), (None, near), (None, base + " other"), (None, "x " + near), (None, "lonely words here and there"),
+            (None, "copy a b c d e f g"), (None, "copy a b c d e f g h")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    linked = [r for r in got if r.doc_id is None and r.component_id == 1]
+    assert len(linked) == 3 and not any(r.kept for r in linked)
+    rest = [r for r in got if r.doc_id is None and r.component_id is None]
+    assert len(rest) == 3 and sum(r.kept for r in rest) == 2
+    assert [r.kept for r in got if r.doc_id == 1] == [True]
+
+
 @pytest.mark.parametrize("task_links", [10**6, 0])
 def test_components(spark, task_links):
     rng = random.Random(1)
