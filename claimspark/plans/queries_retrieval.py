@@ -186,7 +186,8 @@ def fraud_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fraud.fraud_band(_scores(spark, sf_dir)).select("document_id", "risk_band", "risk_label")
 
 
-_REVIEWED = "(SELECT * FROM claims WHERE claim_no IN (SELECT page_id FROM pages))"
+# under review: claims whose order has a returned line item, a property of the claims' own tables over all keys
+_REVIEWED = "(SELECT * FROM claims WHERE claim_no IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'))"
 
 
 @query(f"""
@@ -201,8 +202,9 @@ FROM {_REVIEWED} c JOIN claim_docs d ON d.document_id <> c.document_id AND conta
 WHERE c.policy_number <> ''
 """)
 def claim_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reasons of the claims that the table of pages puts under review, in report order."""
-    reviewed = table(spark, sf_dir, "pages").select(F.col("page_id").alias("claim_no")).distinct()
+    """Reasons of the claims under review (an order with a returned line item), in report order."""
+    returned = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
+    reviewed = returned.select(F.col("l_orderkey").alias("claim_no")).distinct()
     claims = materialise(table(spark, sf_dir, "claims").join(reviewed, "claim_no", "left_semi"), "reviewed")
     index = fraud.fraud_index(claims, table(spark, sf_dir, "claim_docs"))
     return fraud.reasons_for(claims, fraud.fraud_matches(claims, index)).orderBy("document_id", "other_id", "ord")
