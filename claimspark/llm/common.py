@@ -48,6 +48,20 @@ def process_cache(name: str) -> dict:
     return sys.__dict__.setdefault("_claimspark_cache", {}).setdefault(name, {})
 
 
+def fresh(names: list[str], base: str) -> str:
+    """A column name like ``base`` that none of ``names`` has."""
+    name, n = base, 0
+    while name in names:
+        n += 1
+        name = f"{base}{n}"
+    return name
+
+
+def packed(docs: DataFrame, name: str) -> Column:
+    """All columns of ``docs`` as one struct, whatever they are called."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

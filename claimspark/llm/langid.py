@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import drawn, fold_of, slices, table
+from claimspark.llm.common import drawn, fold_of, fresh, packed, slices, table
 
 WINDOW = 256           # bytes
 DEPTH = 8              # numbers for a byte
@@ -195,14 +195,17 @@ def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose language is told with a score of ``least`` or more.
 
     The network is fitted on the labelled rows outside the held-out fold. NULL texts and texts without a letter go.
-    Where nothing is labelled no language is told, and every text with a letter stays. All columns are carried.
+    Where nothing is labelled no language is told, and every text with a letter stays. All columns are carried
+    unchanged, whatever they are called.
     """
     net = train(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     if net is None:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    names = ("_told_lang", "_told_score")
-    judged = predict(docs, net, names)
-    return judged.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).drop(*names)
+    doc = fresh(list(docs.columns), "_doc")
+    names = (fresh([doc], "_told_lang"), fresh([doc], "_told_score"))
+    judged = predict(docs.select(F.col("text"), packed(docs, doc)), net, names)
+    kept = judged.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least))
+    return kept.select(*[F.col(doc).getField(c).alias(c) for c in docs.columns])
 
 
 def op10_byte_cnn_lang(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import N_WORDS_PATTERN, n_words, table
+from claimspark.llm.common import N_WORDS_PATTERN, fresh, n_words, packed, table
 from claimspark.session import materialise
 
 BLOCK_WORDS = 64
@@ -176,24 +176,35 @@ def mix(
 def take_mix(docs: DataFrame, key: Column, **how) -> DataFrame:
     """The documents that the mix takes, once for each pass, with all their columns.
 
-    ``key`` tells documents apart; rows of one key are one document, and its first row is taken. A document that
-    the mix takes in part is cut to the words taken; ``n_chars`` follows the cut text where there is such a column.
+    ``key`` tells documents apart; rows of one key are one document, and the row of least text (then least
+    content) stands for it, in the plan and in what is taken alike. A document that the mix takes in part is
+    cut out of its own text, from the first taken word to the last, so line breaks and spacing inside stay;
+    ``n_chars`` follows the cut text where there is such a column. Columns of any name are carried unchanged.
     """
-    plain = docs.withColumn("_key", key)
-    sized = plain.select(F.col("_key").alias("doc_id"), "source", n_words(F.col("text")).alias("size")).dropDuplicates(["doc_id"])
-    plan = mix(sized, **how).pieces.groupBy(F.col("doc_id").alias("_key"), "pass").agg(
-        F.min("first_word").alias("_first"), F.sum("n").alias("_n")
-    ).withColumnRenamed("pass", "_pass")
-    first = F.row_number().over(Window.partitionBy("_key", "_pass").orderBy("_key"))
-    taken = plain.join(plan, "_key").withColumn("_row", first).where("_row = 1")
-    words = F.regexp_extract_all("text", F.lit(f"({N_WORDS_PATTERN})"), F.lit(1))
-    part = F.array_join(F.slice(words, (F.col("_first") + 1).cast("int"), F.col("_n").cast("int")), " ")
-    whole = F.col("_n") >= n_words(F.col("text"))
-    cut = taken.withColumn("_whole", whole).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(part))
-    if "n_chars" in docs.columns:
+    names = list(docs.columns)
+    doc, k, p, first, n = (fresh(names, b) for b in ("_doc", "_key", "_pass", "_first", "_n"))
+    whole_doc = F.col(doc)
+    text = whole_doc.getField("text")
+    rows = docs.select(key.alias(k), packed(docs, doc))
+    # one row per key: partial minimum map-side, so a key with very many rows is summed before the shuffle
+    least = F.struct(text.alias("t"), F.sha2(F.to_json(whole_doc), 256).alias("h"))
+    one = materialise(rows.groupBy(k).agg(F.min_by(whole_doc, least).alias(doc)), "mix-documents")
+    sized = one.select(F.col(k).alias("doc_id"), whole_doc.getField("source").alias("source"), n_words(text).alias("size"))
+    plan = mix(sized, **how).pieces.groupBy(F.col("doc_id").alias(k), F.col("pass").alias(p)).agg(
+        F.min("first_word").alias(first), F.sum("n").alias(n)
+    )
+    taken = one.join(plan, k)
+    spans = F.regexp_extract_all(text, F.lit(f"([\\x20\\x09-\\x0D]*{N_WORDS_PATTERN})"), F.lit(1))
+    part = F.regexp_replace(
+        F.array_join(F.slice(spans, (F.col(first) + 1).cast("int"), F.col(n).cast("int")), ""), r"^[\x20\x09-\x0D]+", ""
+    )
+    whole = F.col(n) >= n_words(text)
+    cut = F.when(whole, text).otherwise(part)
+    out = whole_doc.withField("text", cut)
+    if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
-        cut = cut.withColumn("n_chars", F.when(F.col("_whole"), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return cut.select(*[f"`{c}`" for c in docs.columns])
+        out = out.withField("n_chars", F.when(whole, whole_doc.getField("n_chars")).otherwise(F.length(cut).cast(kind)))
+    return taken.select(out.alias(doc)).select(*[F.col(doc).getField(c).alias(c) for c in names])
 
 
 def op2_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline and each of its stages, against what the operators' brute force says."""
 
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
 from claimspark.llm import decontaminate
 from claimspark.session import materialise
 
@@ -72,3 +73,36 @@ def test_stages_take_odd_rows(spark, odd_docs, no_docs, tmp_path):
             assert len(ids) == 15
         if name == "mixing":
             assert set(ids) <= {r.doc_id for r in odd_docs.collect()} and max(ids.count(i) for i in ids) <= 2
+
+
+def test_stages_carry_clashing_names(spark, tmp_path):
+    """Columns named like the stages' own keep their values; rows of one id are chosen by content."""
+    from pyspark.sql import functions as F
+
+    corpus(spark, tmp_path)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    clash = ["_key", "_row", "_pass", "_n", "_whole", "_first", "_told_score", "_told_lang", "_doc", "_text"]
+    odd = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in clash])
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, odd, str(tmp_path))
+        assert got.columns == odd.columns
+        for r in got.collect():
+            assert all(r[c] == f"{c}{r.doc_id}" for c in clash)
+        odd = materialise(got, "stage")
+
+
+def test_rows_of_one_id_and_line_breaks(spark, tmp_path):
+    from claimspark.llm import mixing
+
+    corpus(spark, tmp_path)
+    rows = [(7, "b second row", "s0"), (7, "a first row", "s0"), (8, "line one\nline two\n\nline three four", "s1")]
+    df = spark.createDataFrame(rows * 3, "doc_id bigint, text string, source string")
+    got = cp.drop_near_duplicates(spark, df, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(7, "a first row"), (8, rows[2][1])]
+    many = spark.createDataFrame([(i, "w " * 30 + f"end{i}\nnext line {i}", f"s{i % 3}") for i in range(60)] + rows,
+                                 "doc_id bigint, text string, source string")
+    taken = mixing.take_mix(many, F.col("doc_id")).collect()
+    assert {r.text for r in taken if r.doc_id == 7} <= {"a first row", "a first", "first row", "a", "first", "row"}
+    for r in taken:
+        whole = next(t for i, t, _ in [*rows, *[(i, "w " * 30 + f"end{i}\nnext line {i}", "") for i in range(60)]] if i == r.doc_id and (i != 7 or t.startswith("a")))
+        assert r.text in whole and r.text == r.text.strip()
