@@ -6,10 +6,10 @@ Parquet and reads it again as the next stage's documents.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import table
+from claimspark.llm.common import fresh, packed, table
 from claimspark.llm.decontaminate import find_leaks
 from claimspark.llm.langid import keep_identified
 from claimspark.llm.minhash import near_duplicates
@@ -31,14 +31,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id; repeated rows leave one.
+    """One document of each group of near duplicates, that of the smallest id; rows of one id leave one.
 
     NULL and empty texts are duplicates of nothing. A document without an id goes where one with an id is like it.
+    Of several rows of one id, the one of least text, then least content, stays. Columns of any name are carried.
     """
-    keyed = docs.withColumn("_key", _key())
-    kept = near_duplicates(keyed.select("_key", "text"), key="_key").where("kept").select(F.col("doc_id").alias("_key")).distinct()
-    first = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    return keyed.join(kept, "_key", "left_semi").withColumn("_row", first).where("_row = 1").drop("_key", "_row")
+    names = list(docs.columns)
+    doc, key, text = fresh(names, "_doc"), fresh(names, "_key"), fresh(names, "_text")
+    keyed = docs.select(_key().alias(key), F.col("text").alias(text), packed(docs, doc))
+    kept = near_duplicates(keyed.select(key, text), key=key, text=text).where("kept").select(F.col("doc_id").alias(key)).distinct()
+    # one row per id, chosen by content and summed map-side, so an id with very many rows makes no hot task
+    least = F.struct(F.col(text).alias("t"), F.sha2(F.to_json(F.col(doc)), 256).alias("h"))
+    one = keyed.join(kept, key, "left_semi").groupBy(key).agg(F.min_by(F.col(doc), least).alias(doc))
+    return one.select(*[F.col(doc).getField(c).alias(c) for c in names])
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
