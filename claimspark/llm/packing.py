@@ -19,8 +19,10 @@ and ``text`` of the input are read, so other columns, whatever their names, do n
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,7 +39,10 @@ OPEN = 16             # open sequences a task keeps
 MERGE_TASKS = 64      # tasks whose open sequences are merged in one group
 BATCH_BYTES = 1 << 20
 KNOWN_BYTES = 64 << 20   # pieces and their ids that a worker remembers
+#: a space beside white space, or at either end: such a text is cut at ``SAFE`` places only
+UNSAFE = re.compile(r"(?:^|\s) | (?=\s|$)")
 END_ID = 0
+END_BYTES = np.array([END_ID], dtype="<u4").tobytes()
 
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
@@ -53,8 +58,9 @@ class Ids:
 
     Where the tokenizer is plain byte-level BPE, a text is cut before each space that stands between two
     characters that are not white space; no token reaches across such a place, so the ids of the pieces,
-    one after the other, are the ids of the text. Pieces already seen are looked up; the look-up table is
-    emptied when it holds ``KNOWN_BYTES``. Other tokenizers encode whole texts.
+    one after the other, are the ids of the text. Where no white space stands beside a space, these places
+    are simply the spaces, and a piece after one is encoded with it in front. Pieces already seen are looked
+    up; the look-up tables are emptied when they hold ``KNOWN_BYTES``. Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -65,28 +71,45 @@ class Ids:
         self.model.no_truncation()
         self.model.no_padding()
         self.safe = _byte_level(self.model)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.whole: dict[str, np.ndarray] = {}          # pieces as they stand
+        self.after_space: dict[str, np.ndarray] = {}    # pieces after the space that they follow
         self.size = 0
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str], before: str, known: dict[str, np.ndarray]) -> None:
         for group in balanced([len(p) for p in pieces], BATCH_BYTES):
             some = [pieces[j] for j in group]
-            for piece, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[piece] = tuple(e.ids)
-                self.size += len(piece) + 8 * len(e.ids) + 64
+            encoded = self.model.encode_batch_fast([before + p for p in some] if before else some, add_special_tokens=False)
+            known.update(zip(some, (np.array(e.ids, dtype="<u4") for e in encoded)))
+            self.size += sum(len(p) for p in some) * 12 + 128 * len(some)    # ids are about a third of the bytes
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after the other (little-endian uint32), and where each text's begin."""
         if not self.safe:
-            return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-        cut = [SAFE.split(t) for t in texts]
-        new = {p for pieces in cut for p in pieces}.difference(self.known)
-        if self.size + sum(len(p) for p in new) * 3 > KNOWN_BYTES:
-            self.known.clear()
-            self.size = 0
-            new = {p for pieces in cut for p in pieces}
-        self._learn(list(new))
-        known = self.known
-        return [[i for p in pieces for i in known[p]] for pieces in cut]
+            arrays = [np.array(e.ids, dtype="<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+            counts = [len(a) for a in arrays]
+        else:
+            # split at every space; a text with white space beside a space is cut at SAFE places only
+            plain = [UNSAFE.search(t) is None for t in texts]
+            parts = [t.split(" ") if ok else SAFE.split(t) for t, ok in zip(texts, plain)]
+            heads = [some[:1] if ok else some for some, ok in zip(parts, plain)]
+            tails = [some[1:] if ok else [] for some, ok in zip(parts, plain)]
+            all_heads, all_tails = set().union(*heads), set().union(*tails)
+            new_heads, new_tails = all_heads.difference(self.whole), all_tails.difference(self.after_space)
+            if self.size + 12 * (sum(map(len, new_heads)) + sum(map(len, new_tails))) > KNOWN_BYTES:
+                self.whole.clear()
+                self.after_space.clear()
+                self.size = 0
+                new_heads, new_tails = all_heads, all_tails
+            self._learn(list(new_heads), "", self.whole)
+            self._learn(list(new_tails), " ", self.after_space)
+            whole, after = self.whole.__getitem__, self.after_space.__getitem__
+            arrays, counts = [], []
+            for h, t in zip(heads, tails):
+                some = [*map(whole, h), *map(after, t)]
+                arrays += some
+                counts.append(sum(map(len, some)))
+        flat = np.concatenate(arrays) if arrays else np.zeros(0, dtype="<u4")
+        return flat.astype("<u4", copy=False), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
 
 
 def _tokenizer(path: str) -> Ids:
@@ -156,14 +179,16 @@ def _pack_task(path: str, length: int, open_max: int):
         packer = Packer(length, open_max, task << 32)
         for part in slices(batches, "text", BATCH_BYTES):
             texts = [t or "" for t in part.column("text").to_pylist()]
-            ids = model.encode(texts)
+            flat, bounds = model.encode(texts)
             closed = []
-            for doc_id, some in zip(part.column("doc_id").to_pylist(), ids):
-                whole = np.asarray([*some, END_ID], dtype=np.uint32)
-                n = len(whole)
+            for k, doc_id in enumerate(part.column("doc_id").to_pylist()):
+                first, n = int(bounds[k]), int(bounds[k + 1] - bounds[k]) + 1      # and the end id
                 for start in range(0, n, length):
-                    piece = whole[start : start + length]
-                    closed += packer.place((doc_id, start, len(piece), ids_crc32(piece), n), len(piece))
+                    stop = min(start + length, n)
+                    crc = zlib.crc32(memoryview(flat[first + start : first + min(stop, n - 1)]))
+                    if stop == n:
+                        crc = zlib.crc32(END_BYTES, crc)
+                    closed += packer.place((doc_id, start, stop - start, crc, n), stop - start)
             if closed:
                 yield pa.RecordBatch.from_pydict(_rows(closed, task, False), schema=PIECES)
         if packer.open:
