@@ -538,3 +538,32 @@ def test_kept_hash_is_of_the_kept_bytes(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in suffixes.op4_prefix_free_repeats(spark, str(tmp_path)).collect()}
     assert got[2].kept_sha256 == hashlib.sha256(b"x  y").hexdigest() and got[2].n_removed == len(LINE) and got[2].n_spans == 1
+
+
+def test_forward_pass_against_plain_loops():
+    """The strided, batched forward pass of the byte network equals plain loops over windows, places and filters."""
+    from claimspark.llm import langid
+
+    rng = np.random.default_rng(3)
+    net = langid.ByteNet(["a", "b", "c"], seed=5)
+    net.p["bytes"][0] = rng.standard_normal(langid.DEPTH)        # padding byte as trained nets may have it
+    net.p["shift"] = rng.standard_normal(len(net.p["shift"])).astype(np.float32)
+    rows = rng.integers(0, 256, (3, 20)).astype(np.uint8)
+    rows[1, 15:] = 0
+    widths = [w for w, count in langid.WIDTHS.items() for _ in range(count)]
+    want = []
+    for row in rows:
+        padded = [*row.tolist(), *[0] * (net.span - 1)]
+        hidden = []
+        for f, width in enumerate(widths):
+            best = max(
+                sum(float(net.p["bytes"][padded[t + j], d]) * float(net.p["filters"][j * langid.DEPTH + d, f])
+                    for j in range(width) for d in range(langid.DEPTH))
+                for t in range(len(row))
+            )
+            hidden.append(max(best + float(net.p["shift"][f]), 0.0))
+        logits = [sum(h * float(net.p["out"][f, k]) for f, h in enumerate(hidden)) + float(net.p["bias"][k]) for k in range(3)]
+        top = max(logits)
+        e = [np.exp(x - top) for x in logits]
+        want.append([x / sum(e) for x in e])
+    assert np.allclose(net.probabilities(rows), np.array(want), atol=1e-5)
