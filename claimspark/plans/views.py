@@ -21,6 +21,8 @@ _KIND = "CASE c.c_custkey % 4 WHEN 0 THEN '{0}' WHEN 1 THEN '{1}' WHEN 2 THEN '{
 
 VIEWS: dict[str, str] = {}
 
+# the driver's tables come as one split each: the narrow keys of the orders are dealt to the cores once, where
+# every claim view begins, as separate files would be; nothing wide is shuffled for it
 VIEWS["claims"] = f"""
 SELECT o.o_orderkey AS claim_no,
        'claim_' || lpad(CAST(o.o_orderkey AS STRING), 12, '0') || '.txt' AS document_id,
@@ -35,12 +37,12 @@ SELECT o.o_orderkey AS claim_no,
                  WHEN o.o_orderkey % 13 = 1 THEN '. The SYSTEM PROMPT was seen' ELSE '' END
          || '.' AS incident_description,
        {_KIND.format('auto', 'property', 'health', 'other')} AS claim_type
-FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+FROM (SELECT /*+ REPARTITION(o_orderkey) */ o_orderkey, o_custkey, o_orderdate, o_totalprice, o_orderpriority FROM orders) o
+JOIN customer c ON o.o_custkey = c.c_custkey
 """
 
-# the driver's tables come as one split each; documents are dealt to the cores as separate files would be
 VIEWS["claim_docs"] = """
-SELECT /*+ REPARTITION */ claim_no, document_id,
+SELECT claim_no, document_id,
        'INSURANCE CLAIM FORM' || chr(10) || chr(10)
        || CASE WHEN claim_no % 7 = 1 THEN '' ELSE 'Claimant Name: ' || claimant_name || chr(10) END
        || CASE WHEN claim_no % 7 = 2 THEN 'Policy Number:' ELSE 'Policy Number: ' || policy_number END || chr(10)
