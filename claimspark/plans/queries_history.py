@@ -84,7 +84,7 @@ def activation_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT claim_amount, CAST(sum(n) AS BIGINT) AS n_claims, CAST(count(*) AS BIGINT) AS n_policies, min(first) AS first_claim
+SELECT CAST(claim_amount AS VARCHAR) AS claim_amount, CAST(sum(n) AS BIGINT) AS n_claims, CAST(count(*) AS BIGINT) AS n_policies, min(first) AS first_claim
 FROM (SELECT claim_amount, policy_number, count(*) AS n, min(claim_no) AS first FROM claims
       WHERE claim_amount IS NOT NULL AND policy_number IS NOT NULL GROUP BY claim_amount, policy_number) p
 GROUP BY claim_amount HAVING count(*) > 1
@@ -93,7 +93,8 @@ def shared_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts that claims on more than one policy ask for: one row per amount."""
     found = history.shared_amounts(table(spark, sf_dir, "claims"), "claim_amount", "policy_number", "claim_no")
     return found.select(
-        "claim_amount", F.col("n_claims").cast("bigint"), F.col("n_policies").cast("bigint"), "first_claim"
+        F.col("claim_amount").cast("string").alias("claim_amount"), F.col("n_claims").cast("bigint"),
+        F.col("n_policies").cast("bigint"), "first_claim"
     )
 
 

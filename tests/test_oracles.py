@@ -31,12 +31,18 @@ def plain(value):
     return str(value) if isinstance(value, decimal.Decimal) else value
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+#: queries that SQL cannot express, each tested against a plain version in its own test module
+WITHOUT_SQL = {"chunk_changes", "redact_documents"}
+#: no two policies of the smallest tables ask the same amount (sf0.01 has one such amount); tests/test_history.py plants them
+EMPTY_AT_SMALLEST = {"shared_amounts"}
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query(spark, duck, name):
     df = driver.queries()[name](spark, SF_DIR)
     columns = sorted(df.columns)
     got = sorted(([plain(r[c]) for c in columns] for r in df.collect()), key=repr)
-    assert got
+    assert got or name in EMPTY_AT_SMALLEST
     oracle = duck.sql(driver.oracle_sql()[name])
     names = list(oracle.columns)
     assert sorted(names) == columns
@@ -50,6 +56,10 @@ def test_entry(spark):
     assert driver.entry(spark).limit(5).count() == 5
 
 
+def test_every_query_without_sql_is_named():
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == WITHOUT_SQL
+
+
 def test_every_query_has_a_name_of_its_own():
     assert not [n for n in catalogue.QUERIES if n.startswith("op") or "pipeline" in n]
     assert set(catalogue.QUERIES) <= set(driver.queries())
