@@ -25,7 +25,6 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +78,7 @@ class Tokenisers:
         for i in range(size):
             piece = self.a.id_to_token(i) or ""
             self.a_bytes.append(bytes(alphabet[c] for c in piece) if all(c in alphabet for c in piece) else piece.encode())
+        self.a_len = np.array([len(x) for x in self.a_bytes], dtype=np.int64)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
@@ -89,6 +89,7 @@ class Tokenisers:
                 self.b_bytes.append(b"")
             else:
                 self.b_bytes.append(piece.replace("▁", " ").encode())
+        self.b_len = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
 
 
 def _tokenisers(path_a: str, path_b: str) -> Tokenisers:
@@ -144,29 +145,44 @@ def diagonal_groups(ea: list[int], eb: list[int]) -> list[tuple[int, int, int, i
 def align_text(tok: Tokenisers, text: str | None, a_ids: list[int] | None = None, b_ids: list[int] | None = None):
     """``n_a, n_b, n_groups, n_links, groups text, link keys (a << 32 | b, one per link)`` of one text."""
     if not text:
-        return 0, 0, 0, 0, "", []
+        return 0, 0, 0, 0, "", np.zeros(0, dtype=np.int64)
     whole = b" " + text.encode()
     a_ids = a_ids if a_ids is not None else tok.a.encode(" " + text, add_special_tokens=False).ids
     b_ids = b_ids if b_ids is not None else tok.b.encode(text)
-    a_len = [len(tok.a_bytes[t]) for t in a_ids]
-    b_len = [len(tok.b_bytes[t]) for t in b_ids]
-    if (sum(a_len) != len(whole) or sum(b_len) != len(whole)
-            or b"".join(tok.a_bytes[t] for t in a_ids) != whole or b"".join(tok.b_bytes[t] for t in b_ids) != whole):
-        return 0, 0, 0, 0, "", []
-    groups = diagonal_groups(list(accumulate(a_len)), list(accumulate(b_len)))
-    parts, links, n_groups = [], [], 0
-    for a0, a1, b0, b1, diagonal in groups:
+    a, b = np.asarray(a_ids, dtype=np.int64), np.asarray(b_ids, dtype=np.int64)
+    ea, eb = np.cumsum(tok.a_len[a]), np.cumsum(tok.b_len[b])
+    if (not len(a) or not len(b) or ea[-1] != len(whole) or eb[-1] != len(whole)
+            or b"".join(map(tok.a_bytes.__getitem__, a_ids)) != whole or b"".join(map(tok.b_bytes.__getitem__, b_ids)) != whole):
+        return 0, 0, 0, 0, "", np.zeros(0, dtype=np.int64)
+    # group number of every token: a diagonal stretch is one group per token, an irregular group one in all
+    ga, gb = np.empty(len(a), dtype=np.int64), np.empty(len(b), dtype=np.int64)
+    n_groups = 0
+    for a0, a1, b0, b1, diagonal in diagonal_groups(ea.tolist(), eb.tolist()):
         if diagonal:
-            for a, b in zip(a_ids[a0:a1], b_ids[b0:b1]):
-                parts.append(f"{a}|{b}")
-                links.append(a << 32 | b)
+            ga[a0:a1] = gb[b0:b1] = np.arange(n_groups, n_groups + a1 - a0)
             n_groups += a1 - a0
         else:
-            ga, gb = a_ids[a0:a1], b_ids[b0:b1]
-            parts.append(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)))
-            links.extend(a << 32 | b for a in ga for b in gb)
+            ga[a0:a1], gb[b0:b1] = n_groups, n_groups
             n_groups += 1
-    return len(a_ids), len(b_ids), n_groups, len(links), ";".join(parts), links
+    size_a, size_b = np.bincount(ga, minlength=n_groups), np.bincount(gb, minlength=n_groups)
+    start_a = np.concatenate([[0], np.cumsum(size_a)[:-1]])
+    start_b = np.concatenate([[0], np.cumsum(size_b)[:-1]])
+    # every A-B pair inside a group
+    per = size_a * size_b
+    g = np.repeat(np.arange(n_groups), per)
+    k = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
+    links = (a[start_a[g] + k // size_b[g]] << 32) | b[start_b[g] + k % size_b[g]]
+    # the groups as text: A ids, then B ids, of each group in turn
+    side = np.concatenate([np.zeros(len(a), np.int8), np.ones(len(b), np.int8)])
+    group = np.concatenate([ga, gb])
+    order = np.lexsort((np.arange(len(side)), side, group))
+    words = np.array([*map(str, a_ids), *map(str, b_ids)], dtype=object)
+    last_of_side = np.concatenate([np.append(ga[1:] != ga[:-1], True), np.append(gb[1:] != gb[:-1], True)])
+    marks = np.where(~last_of_side, ",", np.where(side == 0, "|", ";")).astype(object)
+    both = np.empty(2 * len(order), dtype=object)
+    both[0::2], both[1::2] = words[order], marks[order]
+    text_of = "".join(both.tolist())[:-1]
+    return len(a), len(b), n_groups, len(links), text_of, links
 
 
 def _align_task(path_a: str, path_b: str):
@@ -181,7 +197,7 @@ def _align_task(path_a: str, path_b: str):
             for rid, doc_id, text in zip(part.column("rid").to_pylist(), part.column("doc_id").to_pylist(), texts):
                 ids = (next(a_all), next(b_all)) if text else (None, None)
                 n_a, n_b, n_groups, n_links, groups, links = align_text(tok, text, *ids)
-                keys, mults = np.unique(np.asarray(links, dtype=np.int64), return_counts=True)
+                keys, mults = np.unique(links, return_counts=True)
                 for name, value in (("rid", rid), ("doc_id", doc_id), ("n_a", n_a), ("n_b", n_b), ("n_groups", n_groups),
                                     ("n_links", n_links), ("pairs", keys.tolist()), ("mults", mults.tolist()),
                                     ("groups_sha256", hashlib.sha256(groups.encode()).hexdigest() if n_a else "")):
