@@ -38,4 +38,4 @@ def test_query(spark, name):
 def test_registered():
     assert set(ORACLES) <= set(QUERIES) <= set(driver.queries())
     assert "pipeline" in driver.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
