@@ -1,7 +1,10 @@
 """Containment matching and the fraud check, against brute force."""
 
+import gc
 import random
+import weakref
 
+import pandas as pd
 import pytest
 
 from claimspark.operators import fraud, matching
@@ -49,6 +52,28 @@ def test_needles_in_groups(spark, monkeypatch):
     assert {(d, n) for d, n in hits if n in needles} == true and len(hits) <= 2 * len(true)
 
 
+def test_cut_batches_are_freed_at_once(monkeypatch):
+    """Cuts fall where the running size passes the limit, and no batch waits for Python to look for cycles."""
+    monkeypatch.setattr(matching, "BATCH_BYTES", 10)
+    born = []
+
+    def batches():
+        for i in range(6):
+            batch = pd.DataFrame({"t": ["x" * 9, None, "y" * 9, "", "z"] if i % 2 else ["one"]})
+            born.append(weakref.ref(batch["t"]))
+            yield batch
+            del batch
+        yield pd.DataFrame({"t": pd.Series([], dtype=object)})
+
+    gc.disable()
+    try:
+        sizes = [len(part) for part in matching._by_bytes(batches(), "t")]
+        assert sum(ref() is not None for ref in born) == 0
+    finally:
+        gc.enable()
+    assert sizes == [1, 2, 3] * 3
+
+
 def test_windows_across_blocks_and_documents(spark, monkeypatch):
     monkeypatch.setattr(matching, "BLOCK_BYTES", 16)
     random.seed(5)
