@@ -1,5 +1,8 @@
 """Fields, flags, prompts, coverage rules and summaries on the sample claim forms."""
 
+import gc
+import weakref
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -189,6 +192,32 @@ def test_infer_keeps_going_when_a_batch_fails(spark):
     assert any(r["raw_output"] == "OK" and r["error"] is None for r in got.values())
 
 
+def test_infer_frees_each_batch(spark):
+    """A call that ties its batch into a reference cycle, as ``.str`` does, keeps no batch but the current one."""
+    born, alive = [], []
+
+    def model(batches):
+        for batch in batches:
+            born.append(weakref.ref(batch["prompt"]))
+            yield pd.DataFrame({"raw_output": batch["prompt"].str.upper(), "input_tokens": 1, "output_tokens": 2, "latency_seconds": 0.5})
+
+    class Requests:
+        """Hands back the function that Spark would run."""
+
+        def mapInPandas(self, fn, schema):
+            return fn
+
+    rows = (pd.DataFrame({"document_id": ["d"], "model_id": "m", "task": "t", "system": "s", "prompt": "p"}) for _ in range(8))
+    gc.disable()
+    try:
+        for answer in prompts.infer(Requests(), model)(rows):
+            assert answer["raw_output"].tolist() == ["P"]
+            alive.append(sum(ref() is not None for ref in born))
+    finally:
+        gc.enable()
+    assert len(alive) == 8 and max(alive) <= 2
+
+
 def test_answers_and_their_absence(spark):
     asked = spark.createDataFrame([(d, "m", "t") for d in "abc"], "document_id STRING, model_id STRING, task STRING")
     answers = spark.createDataFrame(
