@@ -10,7 +10,7 @@ from claimspark.operators import compare, results
 from claimspark.plans import claims as jobs
 from claimspark.session import fresh_path, materialise, work_dir
 from claimspark.sources import events, files, sinks
-from claimspark.streaming.claims import stream_claims, upsert_to
+from claimspark.streaming.claims import LIST_TASKS, LISTING, stream_claims, upsert_to
 
 from test_extract import AUTO, DOCS, HEALTH
 
@@ -283,3 +283,19 @@ def test_shared_folder_comes_from_the_session(spark):
     assert work_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     kept = materialise(spark.range(5), "five")
     assert kept.count() == 5 and work_dir(spark) in kept.inputFiles()[0]
+
+
+def test_stream_lists_many_files_by_few_tasks(spark, tmp_path):
+    """A batch of files is looked up by a bounded number of tasks, not by one for each file."""
+    spark.conf.set(LISTING, "10000")
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    for i in range(3 * LIST_TASKS):
+        (inbox / f"claim {i}.txt").write_text(DOCS[0][1], encoding="utf-8")
+    stored = fresh_path(spark, "results")
+    stream = stream_claims(spark, str(inbox), stored, fresh_path(spark, "state"), lambda batch: jobs.process_forms(batch, now=1))
+    stream.awaitTermination()
+    assert sinks.stored_results(spark, stored).count() == 3 * LIST_TASKS
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup(str(stream.runId)) for s in tracker.getJobInfo(job).stageIds]
+    assert 0 < max(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)) <= LIST_TASKS
