@@ -24,18 +24,23 @@ def _sorted_hash(values: Column) -> Column:
     return F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(values))), 256)
 
 
+FAR = "9999-12-31"  # the day of a bill without one
+
+
 def hash_tree(lines: DataFrame, bill: str, section: str, line: Column) -> tuple[DataFrame, DataFrame]:
     """Section hashes ``bill, section, section_hash`` and bills ``bill, n_lines, n_sections, bill_hash``.
 
     ``line`` is the normalised text of a line item; a NULL line counts as the empty text, a NULL section
     as the section ''. Repeated equal lines count each time.
+
+    The short texts of the lines travel, once and by bill; every hash is made where the bill lies.
     """
-    hashed = lines.select(
+    texts = lines.select(
         F.col(bill).alias("bill"), F.coalesce(F.col(section).cast("string"), F.lit("")).alias("section"),
-        F.sha2(F.coalesce(line, F.lit("")), 256).alias("line_hash"),
-    )
-    sections = hashed.groupBy("bill", "section").agg(
-        _sorted_hash(F.col("line_hash")).alias("section_hash"), F.count("*").alias("n_lines")
+        F.coalesce(line, F.lit("")).alias("line"),
+    ).repartition("bill")
+    sections = texts.groupBy("bill", "section").agg(
+        _sorted_hash(F.sha2("line", 256)).alias("section_hash"), F.count("*").alias("n_lines")
     )
     bills = sections.groupBy("bill").agg(
         F.sum("n_lines").alias("n_lines"), F.count("*").alias("n_sections"),
@@ -58,25 +63,32 @@ def duplicate_bills(sections: DataFrame, bills: DataFrame, dates: DataFrame, dat
     Earlier means a smaller (``date``, bill); ``dates`` holds ``bill`` and ``date``. A bill without a date
     comes after all dated ones.
     """
-    dated = F.coalesce(F.col(date).cast("timestamp"), F.lit("9999-12-31").cast("timestamp")).alias("at")
-    when = dates.select("bill", dated)
-    b = bills.join(when, "bill", "left").withColumn("at", F.coalesce("at", F.lit("9999-12-31").cast("timestamp")))
-    s = sections.join(when, "bill", "left").withColumn("at", F.coalesce("at", F.lit("9999-12-31").cast("timestamp")))
-    bill_index = history_index(b, "bill_hash", ["at"])
-    section_index = history_index(s, "section_hash", ["at"])
-    shared = (
-        s.join(section_index, "section_hash")
-        .groupBy("bill")
-        .agg(F.sum(F.when(F.col("first_bill") != F.col("bill"), 1).otherwise(0)).alias("n_shared_sections"))
-    )
-    return (
-        b.join(bill_index, "bill_hash")
-        .join(shared, "bill", "left")
-        .select(
-            "bill", "n_lines", "n_sections", "bill_hash", "first_bill",
-            (F.col("first_bill") != F.col("bill")).alias("duplicate"),
-            F.coalesce("n_shared_sections", F.lit(0)).cast("bigint").alias("n_shared_sections"),
+    far = F.lit(FAR).cast("timestamp")
+    when = dates.select("bill", F.coalesce(F.col(date).cast("timestamp"), far).alias("at"))
+    at = F.coalesce("at", far).alias("at")
+    # hashes travel as 32 bytes
+    b = bills.join(when, "bill", "left").select("bill", at, "n_lines", "n_sections", F.unhex("bill_hash").alias("_key"))
+    s = sections.join(when, "bill", "left").select("bill", at, F.unhex("section_hash").alias("_key"))
+    # a bill shares the sections that it is not first with: all of its own, once for each of its dates, less the others
+    per = s.groupBy("bill", "_key").agg(F.min("at").alias("at"), F.count("*").alias("n"))
+    first = per.groupBy("_key").agg(F.min(F.struct("at", "bill", "n")).alias("first"))
+    unshared = first.select("first.bill", "first.n").where(F.col("bill").isNotNull())
+    if not bills.where(F.col("bill").isNull()).isEmpty():
+        # no bill shares a section whose first bill has no key; such a bill is first among undated ones only
+        keyless = first.where(F.col("first.bill").isNull()).select("_key")
+        unshared = unshared.unionByName(
+            per.where((F.col("at") >= far) & F.col("bill").isNotNull()).join(keyless, "_key", "left_semi").select("bill", "n")
         )
+    unshared = unshared.groupBy("bill").agg(F.sum("n").alias("_unshared"))
+    times = dates.groupBy("bill").agg(F.count("*").alias("_times"))
+    shared = F.col("n_sections") * F.coalesce("_times", F.lit(1)) - F.coalesce("_unshared", F.lit(0))
+    counted = b.join(times, "bill", "left").join(unshared, "bill", "left").select(
+        "bill", "at", "n_lines", "n_sections", "_key",
+        F.when(F.col("bill").isNotNull(), shared).otherwise(0).cast("bigint").alias("n_shared_sections"),
+    )
+    return counted.join(history_index(b, "_key", ["at"]), "_key").select(
+        "bill", "n_lines", "n_sections", F.lower(F.hex("_key")).alias("bill_hash"), "first_bill",
+        (F.col("first_bill") != F.col("bill")).alias("duplicate"), "n_shared_sections",
     )
 
 

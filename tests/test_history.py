@@ -188,3 +188,45 @@ def test_redaction_overlaps_and_pseudonyms(spark):
     assert rows[1].r.redacted == out and rows[3].r.redacted is None and rows[4].r.finds == []
     assert rows[2].r.finds[0].pseudonym == finds[2][3]
     assert redact.pseudonym("CARD", card, "another key") != finds[2][3]
+
+
+def test_duplicate_bills_against_plain_loops(spark):
+    """NULL and repeated keys: bills without a key, bills with several dates, equal sections under other names."""
+    rng = random.Random(8)
+    lines = [(rng.choice([None, *range(40)]), rng.choice(["A", "N", None]), rng.choice(["x", "y", None])) for _ in range(70)]
+    lines += [(None, "solo", "only here"), (77, "solo", "only here"), (78, "R", "only here")]
+    dates = [(rng.randrange(40), rng.choice([None, *(dt.datetime(2020, 1, d) for d in (1, 2, 3))])) for _ in range(50)]
+    sections, bills = history.hash_tree(spark.createDataFrame(lines, "b long, s string, t string"), "b", "s", F.col("t"))
+    got = history.duplicate_bills(sections, bills, spark.createDataFrame(dates, "bill long, d timestamp"), "d").collect()
+
+    far = dt.datetime(9999, 12, 31)
+    held = {}
+    for bill, section, text in lines:
+        held.setdefault(bill, {}).setdefault(section or "", []).append(text or "")
+    held = {b: {s: tuple(sorted(t)) for s, t in parts.items()} for b, parts in held.items()}
+    days = {b: [d or far for k, d in dates if k == b and b is not None] or [far] for b in held}
+    rank = lambda pair: (pair[0], pair[1] is not None, pair[1] or 0)
+    first_bill, first_section = {}, {}
+    for b, parts in held.items():
+        for firsts, things in ((first_bill, [tuple(sorted(parts.items()))]), (first_section, parts.values())):
+            for x in things:
+                firsts[x] = min([firsts[x], (min(days[b]), b)] if x in firsts else [(min(days[b]), b)], key=rank)
+    expected = []
+    for b, parts in held.items():
+        first = first_bill[tuple(sorted(parts.items()))][1]
+        others = [first_section[x][1] for x in parts.values()]
+        shared = 0 if b is None else len(days[b]) * sum(o is not None and o != b for o in others)
+        duplicate = None if b is None or first is None else first != b
+        expected += [(b, sum(map(len, parts.values())), len(parts), first, duplicate, shared)] * len(days[b])
+    found = [(r.bill, r.n_lines, r.n_sections, r.first_bill, r.duplicate, r.n_shared_sections) for r in got]
+    assert sorted(map(str, found)) == sorted(map(str, expected))
+    assert any(r[5] for r in expected) and any(r[3] is None and r[0] is not None or r[0] is None for r in expected)
+
+
+def test_hash_tree_sends_texts_not_hashes(spark):
+    """The lines travel once, as their short texts."""
+    sections, bills = history.hash_tree(spark.createDataFrame([(1, "A", "x")], "b long, s string, t string"), "b", "s", F.col("t"))
+    for df in (sections, bills):
+        above, below = df._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")
+        assert "sha2(" in above and "sha2(" not in below
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
