@@ -6,8 +6,9 @@ import weakref
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from claimspark.operators import fraud, matching
+from claimspark.operators import fraud, matching, skew
 from claimspark.operators.fraud import fraud_band, fraud_index, fraud_matches, fraud_reasons, fraud_score, reasons_for
 
 CLAIM = "document_id STRING, claimant_name STRING, policy_number STRING"
@@ -153,6 +154,33 @@ def test_scores_and_reasons(spark, rows_per_slice):
     assert [(r["document_id"], r["other_id"], r["reason"]) for r in pairs.collect()] == SAMPLE_REASONS
 
 
+def test_reasons_in_report_order(spark):
+    """Sorted before the texts are made: documents that are checked twice, one without a key, marks inside identifiers."""
+    random.seed(4)
+    claims = [(f"c{random.randrange(40):03d}", f"Name|{random.randrange(9)}", f"P-{random.randrange(30)}|") for _ in range(60)]
+    claims += [(None, "Name|1", "P-1|")]
+    texts = [(f"c{i:03d}", " ".join(f"{n} {p}" for _, n, p in random.sample(claims, 2))) for i in range(50)]
+    claim_df, text_df = spark.createDataFrame(claims, CLAIM), spark.createDataFrame(texts, TEXT)
+    matches = fraud_matches(claim_df, fraud_index(claim_df, text_df))
+    expected = sorted(
+        (key, d, kind, f"Matching {('claimant', 'policy number')[kind]} '{name}' found in file '{d}'")
+        for key, *names in claims for kind, name in enumerate(names) for d, t in texts
+        if key is not None and d != key and name.lower() in t.lower()
+    )
+    for rows_per_slice in (3, 1_000_000):
+        got = [tuple(r) for r in reasons_for(claim_df, matches, rows_per_slice, in_order=True).collect()]
+        assert [r[:3] for r in got] == [r[:3] for r in expected] and sorted(got) == expected
+
+
+def test_joins_without_a_hot_key_are_plain(spark):
+    left = spark.createDataFrame([("a", 1), (None, 2)], "k string, x long")
+    right = spark.createDataFrame([("a", 5)], "k string, y long")
+    hot = skew.hot_keys(left.groupBy("k").count(), "k", "count", 1)
+    joined = skew.salted_join(left, right, "k", F.col("x"), hot)
+    assert joined.columns == ["k", "x", "y"] and {tuple(r) for r in joined.collect()} == {("a", 1, 5), (None, 2, None)}
+    assert "_slice" not in joined._jdf.queryExecution().analyzed().toString()
+
+
 def test_one_needle_owns_most_documents(spark):
     """A third and more of all claims share a name: counts hold, nothing is dropped."""
     claims = [(f"h{i}", "Hot Name", f"P-{i:03d}") for i in range(120)] + [(f"o{i}", f"Name{i}", f"Q-{i:03d}") for i in range(80)]
