@@ -19,10 +19,8 @@ and ``text`` of the input are read, so other columns, whatever their names, do n
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,16 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark.llm.common import process_cache, slices, table
-from claimspark.llm.tokens import SAFE, _byte_level, balanced
+from claimspark.llm.tokens import Codes, Ragged, _byte_level, balanced, id_bytes, ids_after_space, pieces_of
 from claimspark.session import materialise
 
 LENGTH = 1024         # ids of a sequence
 OPEN = 16             # open sequences a task keeps
 MERGE_TASKS = 64      # tasks whose open sequences are merged in one group
 BATCH_BYTES = 1 << 20
-KNOWN_BYTES = 64 << 20   # pieces and their ids that a worker remembers
-#: a space beside white space, or at either end: such a text is cut at ``SAFE`` places only
-UNSAFE = re.compile(r"(?:^|\s) | (?=\s|$)")
+KNOWN_BYTES = 320 << 20  # pieces and their ids that a worker remembers
+PIECE_BYTES = 200        # of a piece besides its characters and ids: object, number, place in the table
 END_ID = 0
 END_BYTES = np.array([END_ID], dtype="<u4").tobytes()
 
@@ -58,9 +55,9 @@ class Ids:
 
     Where the tokenizer is plain byte-level BPE, a text is cut before each space that stands between two
     characters that are not white space; no token reaches across such a place, so the ids of the pieces,
-    one after the other, are the ids of the text. Where no white space stands beside a space, these places
-    are simply the spaces, and a piece after one is encoded with it in front. Pieces already seen are looked
-    up; the look-up tables are emptied when they hold ``KNOWN_BYTES``. Other tokenizers encode whole texts.
+    one after the other, are the ids of the text. Pieces are numbered as they are first seen, and the ids of
+    the new ones of a slice are asked for together; the ids of a text are then gathered by number. The
+    numbers are forgotten when they hold ``KNOWN_BYTES``. Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -71,45 +68,53 @@ class Ids:
         self.model.no_truncation()
         self.model.no_padding()
         self.safe = _byte_level(self.model)
-        self.whole: dict[str, np.ndarray] = {}          # pieces as they stand
-        self.after_space: dict[str, np.ndarray] = {}    # pieces after the space that they follow
-        self.size = 0
-
-    def _learn(self, pieces: list[str], before: str, known: dict[str, np.ndarray]) -> None:
-        for group in balanced([len(p) for p in pieces], BATCH_BYTES):
-            some = [pieces[j] for j in group]
-            encoded = self.model.encode_batch_fast([before + p for p in some] if before else some, add_special_tokens=False)
-            known.update(zip(some, (np.array(e.ids, dtype="<u4") for e in encoded)))
-            self.size += sum(len(p) for p in some) * 12 + 128 * len(some)    # ids are about a third of the bytes
+        self.sizes = id_bytes(self.model) if self.safe else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes, self.ids, self.size = Codes(), Ragged("<u4"), 0
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self) -> None:
+        """Ids of the new pieces: a text's first one as it stands (noted as a tuple), any other after its space."""
+        new, self.codes.new = self.codes.new, []
+        first = np.fromiter((type(p) is tuple for p in new), dtype=bool, count=len(new))
+        after = [p for p in new if type(p) is str]
+        heads = [p[0] for p in new if type(p) is tuple]
+        ids, counts = ids_after_space(self._encode, self.sizes, after)
+        parts = [ids]
+        for group in balanced([len(p) for p in heads], BATCH_BYTES):
+            for j, some in zip(group, self._encode([heads[j] for j in group])):
+                heads[j] = some
+        parts += [np.array(some, dtype=np.int64) for some in heads]
+        n = np.zeros(len(new), dtype=np.int64)
+        n[~first], n[first] = counts, [len(some) for some in heads]
+        both = Ragged("<u4")
+        both.extend(np.concatenate(parts), np.concatenate([n[~first], n[first]]))
+        place = np.empty(len(new), dtype=np.int64)
+        place[~first], place[first] = np.arange(len(after)), np.arange(len(after), len(new))
+        self.ids.extend(*both.take(place))
+        self.size += PIECE_BYTES * len(new) + 3 * sum(map(len, after)) + 8 * sum(map(len, heads))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other (little-endian uint32), and where each text's begin."""
         if not self.safe:
-            arrays = [np.array(e.ids, dtype="<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-            counts = [len(a) for a in arrays]
-        else:
-            # split at every space; a text with white space beside a space is cut at SAFE places only
-            plain = [UNSAFE.search(t) is None for t in texts]
-            parts = [t.split(" ") if ok else SAFE.split(t) for t, ok in zip(texts, plain)]
-            heads = [some[:1] if ok else some for some, ok in zip(parts, plain)]
-            tails = [some[1:] if ok else [] for some, ok in zip(parts, plain)]
-            all_heads, all_tails = set().union(*heads), set().union(*tails)
-            new_heads, new_tails = all_heads.difference(self.whole), all_tails.difference(self.after_space)
-            if self.size + 12 * (sum(map(len, new_heads)) + sum(map(len, new_tails))) > KNOWN_BYTES:
-                self.whole.clear()
-                self.after_space.clear()
-                self.size = 0
-                new_heads, new_tails = all_heads, all_tails
-            self._learn(list(new_heads), "", self.whole)
-            self._learn(list(new_tails), " ", self.after_space)
-            whole, after = self.whole.__getitem__, self.after_space.__getitem__
-            arrays, counts = [], []
-            for h, t in zip(heads, tails):
-                some = [*map(whole, h), *map(after, t)]
-                arrays += some
-                counts.append(sum(map(len, some)))
-        flat = np.concatenate(arrays) if arrays else np.zeros(0, dtype="<u4")
-        return flat.astype("<u4", copy=False), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+            arrays = [np.array(ids, dtype="<u4") for ids in self._encode(texts)]
+            flat = np.concatenate(arrays) if arrays else np.zeros(0, dtype="<u4")
+            return flat, np.concatenate([[0], np.cumsum([len(a) for a in arrays], dtype=np.int64)])
+        if self.size > KNOWN_BYTES:
+            self._forget()
+        parts = [pieces_of(t) for t in texts]
+        for some in parts:
+            some[0] = (some[0],)
+        codes = self.codes.of(parts)
+        if self.codes.new:
+            self._learn()
+        flat, counts = self.ids.take(codes)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return flat, ends[np.concatenate([[0], np.cumsum([len(some) for some in parts], dtype=np.int64)])]
 
 
 def _tokenizer(path: str) -> Ids:

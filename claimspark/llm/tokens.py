@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,10 @@ KNOWN_PIECES = 300_000     # lengths that a worker remembers, some 50 MB
 #: Before a space that stands between two characters that are not white space. Byte-level
 #: pre-tokenizers with the usual pattern start a new word there, and never look behind it.
 SAFE = re.compile(r"(?<=\S)(?= \S)")
+#: a space beside white space, or at either end: such a text is cut at ``SAFE`` places only
+UNSAFE = re.compile(r"(?:^|\s) | (?=\s|$)")
+TWO_SPACES = re.compile(r"\s\s")
+JOINED_BYTES = 1 << 17     # pieces encoded as one text
 
 
 class Encoder:
@@ -82,6 +88,102 @@ class Encoder:
         ]
 
 
+def pieces_of(text: str) -> list[str]:
+    """The text cut at ``SAFE`` places: its first piece as it stands, the others without the space before them."""
+    if TWO_SPACES.search(text) is None and text[:1] != " " and text[-1:] != " ":
+        return text.split(" ")     # no white space beside a space: every space is such a place
+    if UNSAFE.search(text) is None:
+        return text.split(" ")
+    first, *rest = SAFE.split(text)
+    return [first, *(p[1:] for p in rest)]
+
+
+class Codes(dict):
+    """Numbers of pieces in the order first seen. A look-up of a piece not seen before numbers it and notes it in ``new``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, piece) -> int:
+        code = self[piece] = len(self)
+        self.new.append(piece)
+        return code
+
+    def of(self, parts: list[list]) -> np.ndarray:
+        """The numbers of all pieces, one after the other."""
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(parts)), dtype=np.int64, count=sum(map(len, parts)))
+
+
+class Ragged:
+    """Rows of numbers of different lengths: appended at the end, gathered by row number."""
+
+    def __init__(self, dtype) -> None:
+        self.values, self.ends = np.zeros(1 << 12, dtype=dtype), np.zeros(1 << 12, dtype=np.int64)
+        self.rows = self.size = 0
+
+    def extend(self, values: np.ndarray, counts: np.ndarray) -> None:
+        rows, size = self.rows + len(counts), self.size + len(values)
+        if size > len(self.values):
+            self.values = np.concatenate([self.values[: self.size], np.zeros(size, dtype=self.values.dtype)])
+        if rows > len(self.ends):
+            self.ends = np.concatenate([self.ends[: self.rows], np.zeros(rows, dtype=np.int64)])
+        self.values[self.size : size] = values
+        self.ends[self.rows : rows] = self.size + np.cumsum(counts)
+        self.rows, self.size = rows, size
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of the rows one after the other, and how many each has."""
+        starts = np.where(rows > 0, self.ends[rows - 1], 0)
+        counts = self.ends[rows] - starts
+        ends = np.cumsum(counts)
+        at = np.repeat(starts - (ends - counts), counts)
+        at += np.arange(len(at))
+        return self.values[at], counts
+
+
+def id_bytes(model) -> np.ndarray:
+    """How many bytes of text each id of a byte-level tokenizer stands for (a character of its vocabulary is a byte)."""
+    sizes = np.zeros(model.get_vocab_size(with_added_tokens=True), dtype=np.int64)
+    for piece, i in model.get_vocab(with_added_tokens=False).items():
+        sizes[i] = len(piece)
+    for i, added in model.get_added_tokens_decoder().items():
+        sizes[i] = len(added.content.encode())
+    return sizes
+
+
+def _each(encode: Callable[[list[str]], list], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    ids = encode(texts)
+    counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+    return np.fromiter(chain.from_iterable(ids), dtype=np.int64, count=int(counts.sum())), counts
+
+
+def _joined(encode: Callable[[list[str]], list], sizes: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    text = " " + " ".join(pieces)
+    if TWO_SPACES.search(text) is None and text[-1] != " ":       # each space in it is a SAFE place
+        ids = np.array(encode([text])[0], dtype=np.int64)
+        long = np.fromiter(map(len, pieces if text.isascii() else map(str.encode, pieces)), dtype=np.int64, count=len(pieces))
+        reach, ends = np.cumsum(sizes[ids]), np.cumsum(long + 1)
+        last = np.searchsorted(reach, ends)
+        if len(ids) and reach[-1] == ends[-1] and np.array_equal(reach[last], ends):
+            return ids, np.diff(last, prepend=-1)
+    return _each(encode, [" " + p for p in pieces])
+
+
+def ids_after_space(encode: Callable[[list[str]], list], sizes: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pieces one after the other, each with a space before it, and how many ids each has.
+
+    Some ``JOINED_BYTES`` of pieces at a time are encoded as one text, which is cut into the pieces' ids again
+    by the ids' ``sizes`` in bytes; where a piece begins or ends with white space, each for itself.
+    """
+    if not pieces:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    long = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(long + 1) // JOINED_BYTES)) + 1).tolist(), len(pieces)]
+    found = [_joined(encode, sizes, pieces[a:b]) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
+    return np.concatenate([ids for ids, _ in found]), np.concatenate([counts for _, counts in found])
+
+
 def encoder_for(path: str) -> Encoder:
     """The worker's encoder; it stays loaded from task to task."""
     known = process_cache("encoders")

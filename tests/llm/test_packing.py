@@ -94,3 +94,30 @@ def test_ids_of_pieces_are_the_library_ids(path, odd_docs):
         flat, bounds = ids.encode(texts)
         got = [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
         assert got == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_new_words_of_a_slice_are_encoded_as_one_text(path):
+    """The library is called for a slice's new words together, not with a text for each of them."""
+    ids = packing.Ids(path)
+    given = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            given.extend(texts)
+            return model.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    model, ids.model = ids.model, Counted()
+    texts = [" ".join(f"word{i}, näme{i}." for i in range(k, k + 500)) for k in (0, 250)]
+    for _ in range(2):
+        flat, bounds = ids.encode(texts)
+        got = [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+        assert got == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    assert len(given) == 3      # two first words, and the others
+
+
+def test_words_that_end_in_white_space_are_encoded_alone(path):
+    ids = packing.Ids(path)
+    pieces = ["plain", "line\n", "\n", "", "tab\t", "x y", "数据", "<|endoftext|>", "last"]
+    flat, counts = packing.ids_after_space(ids._encode, ids.sizes, pieces)
+    at = np.concatenate([[0], np.cumsum(counts)])
+    assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == ids._encode([" " + p for p in pieces])
