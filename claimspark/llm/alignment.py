@@ -7,6 +7,12 @@ each stretch compared at once) jumps over stretches where the two arrays agree e
 one-to-one groups. Where they disagree, the group is resolved locally by merging the two arrays up to
 the next common end, and the shift between the indexes takes its new value from there.
 
+Where both tokenisers allow it, a text is cut before each space that stands between two characters that are
+not white space: no token of either reaches across such a place, so both have an end there and no group does
+either. Each different piece is then tokenised and walked once per worker: the pieces that a slice of texts
+brings anew are laid end to end and walked as one run of bytes, and a document's tokens, groups and links are
+those of its pieces, one after the other. Other tokenisers are given whole texts.
+
 Every A-B token occurrence pair inside one group is a link. A corpus-wide count of an id pair is the
 number of documents that hold it linked: documents send their distinct pairs, which are counted with
 partial aggregation, so a pair that nearly every document holds is summed map-side. The table of counts
@@ -25,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +39,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimspark.llm.common import process_cache, slices, table
+from claimspark.llm.tokens import Codes, Ragged, _byte_level, ids_after_space, pieces_of
 from claimspark.session import materialise
 
 BATCH_BYTES = 1 << 20
+KNOWN_BYTES = 160 << 20     # aligned pieces that a worker remembers
+PIECE_BYTES = 320           # of a piece besides its characters, groups text and links
 BROADCAST_PAIRS = 2_000_000
 
 ALIGNED = (
@@ -90,6 +100,24 @@ class Tokenisers:
             else:
                 self.b_bytes.append(piece.replace("▁", " ").encode())
         self.b_len = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
+        self.names = np.array([str(i) for i in range(max(size, len(self.b_bytes)))], dtype=object)
+        self.safe = _byte_level(self.a) and _cut_at_spaces(self.b)
+
+
+def _cut_at_spaces(model) -> bool:
+    """Whether a sentencepiece model's tokens stay within words: BPE on the text as it is, no piece with a space after another character."""
+    try:
+        from sentencepiece import sentencepiece_model_pb2 as layout
+    except ImportError:
+        return False
+    plan = layout.ModelProto()
+    plan.ParseFromString(model.serialized_model_proto())
+    text, how = plan.normalizer_spec, plan.trainer_spec
+    as_it_is = not text.precompiled_charsmap and not text.remove_extra_whitespaces
+    prefixed = text.add_dummy_prefix and text.escape_whitespaces and not how.treat_whitespace_as_suffix
+    own = any(p.type == layout.ModelProto.SentencePiece.USER_DEFINED for p in plan.pieces)
+    within = all("▁" not in p.piece[1:] or not p.piece.strip("▁") for p in plan.pieces)
+    return bool(how.model_type == layout.TrainerSpec.BPE and as_it_is and prefixed and within and not own)
 
 
 def _tokenisers(path_a: str, path_b: str) -> Tokenisers:
@@ -154,6 +182,15 @@ def align_text(tok: Tokenisers, text: str | None, a_ids: list[int] | None = None
     if (not len(a) or not len(b) or ea[-1] != len(whole) or eb[-1] != len(whole)
             or b"".join(map(tok.a_bytes.__getitem__, a_ids)) != whole or b"".join(map(tok.b_bytes.__getitem__, b_ids)) != whole):
         return 0, 0, 0, 0, "", np.zeros(0, dtype=np.int64)
+    ga, gb, links, _, both = _groups(tok, a, b, ea, eb)
+    return len(a), len(b), int(ga[-1]) + 1, len(links), "".join(both)[:-1], links
+
+
+def _groups(tok: Tokenisers, a: np.ndarray, b: np.ndarray, ea: np.ndarray, eb: np.ndarray):
+    """Of ids and their end offsets: group of each A and B token, link keys, links of each group, and the groups as text.
+
+    The text is a list of every token's id and the mark after it, groups in turn, A ids before B ids.
+    """
     # group number of every token: a diagonal stretch is one group per token, an irregular group one in all
     ga, gb = np.empty(len(a), dtype=np.int64), np.empty(len(b), dtype=np.int64)
     n_groups = 0
@@ -174,35 +211,149 @@ def align_text(tok: Tokenisers, text: str | None, a_ids: list[int] | None = None
     links = (a[start_a[g] + k // size_b[g]] << 32) | b[start_b[g] + k % size_b[g]]
     # the groups as text: A ids, then B ids, of each group in turn
     side = np.concatenate([np.zeros(len(a), np.int8), np.ones(len(b), np.int8)])
-    group = np.concatenate([ga, gb])
-    order = np.lexsort((np.arange(len(side)), side, group))
-    words = np.array([*map(str, a_ids), *map(str, b_ids)], dtype=object)
+    order = np.argsort(2 * np.concatenate([ga, gb]) + side, kind="stable")
     last_of_side = np.concatenate([np.append(ga[1:] != ga[:-1], True), np.append(gb[1:] != gb[:-1], True)])
-    marks = np.where(~last_of_side, ",", np.where(side == 0, "|", ";")).astype(object)
+    marks = MARKS[np.where(last_of_side, 1 + side, 0)]
     both = np.empty(2 * len(order), dtype=object)
-    both[0::2], both[1::2] = words[order], marks[order]
-    text_of = "".join(both.tolist())[:-1]
-    return len(a), len(b), n_groups, len(links), text_of, links
+    both[0::2], both[1::2] = tok.names[np.concatenate([a, b])][order], marks[order]
+    return ga, gb, links, per, both.tolist()
+
+
+MARKS = np.array([",", "|", ";"], dtype=object)
+
+
+class Aligner:
+    """Alignments of whole texts, put together from pieces that are each aligned once, until ``KNOWN_BYTES`` are held."""
+
+    def __init__(self, tok: Tokenisers) -> None:
+        self.tok = tok
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes, self.links, self.sizes = Codes(), Ragged(np.int64), Ragged(np.int64)
+        self.groups: list[str] = []
+        self.held = 0
+
+    def _encode_a(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A and B ids of the pieces, one after the other, and how many each piece has."""
+        tok = self.tok
+        if tok.safe:
+            a, n_a = ids_after_space(self._encode_a, tok.a_len, pieces)
+        else:
+            found = self._encode_a([" " + p for p in pieces])
+            a, n_a = np.array([*chain.from_iterable(found)], dtype=np.int64), np.array([*map(len, found)], dtype=np.int64)
+        found = tok.b.encode(pieces, num_threads=1)
+        return a, n_a, np.array([*chain.from_iterable(found)], dtype=np.int64), np.array([*map(len, found)], dtype=np.int64)
+
+    def _learn(self, pieces: list[str]) -> None:
+        tok = self.tok
+        a, n_a, b, n_b = self._ids(pieces)
+        whole = [b" " + p.encode() for p in pieces]
+        size = np.fromiter(map(len, whole), dtype=np.int64, count=len(whole))
+        ends_a, ends_b = np.cumsum(n_a), np.cumsum(n_b)
+        a_bytes, b_bytes = [*map(tok.a_bytes.__getitem__, a.tolist())], [*map(tok.b_bytes.__getitem__, b.tolist())]
+        all_bytes, reach = b"".join(whole), np.cumsum(size)
+        ea, eb = np.cumsum(tok.a_len[a]), np.cumsum(tok.b_len[b])
+        fits = n_a.all() and n_b.all() and np.array_equal(ea[ends_a - 1], reach) and np.array_equal(eb[ends_b - 1], reach)
+        if not (fits and b"".join(a_bytes) == all_bytes and b"".join(b_bytes) == all_bytes):
+            # some piece is not what its tokens stand for: it is left out, and so is each text that holds it
+            good = np.array([
+                bool(x and y) and b"".join(a_bytes[i - x : i]) == w and b"".join(b_bytes[j - y : j]) == w
+                for w, i, x, j, y in zip(whole, ends_a.tolist(), n_a.tolist(), ends_b.tolist(), n_b.tolist())
+            ], dtype=bool)
+            a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+            n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
+            ends_a, ends_b = np.cumsum(n_a), np.cumsum(n_b)
+            ea, eb = np.cumsum(tok.a_len[a]), np.cumsum(tok.b_len[b])
+        if len(a):
+            ga, _, links, per, both = _groups(tok, a, b, ea, eb)
+        else:
+            ga, links, per, both = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        # groups of each piece, then their links and their text
+        upto = np.concatenate([[0], ga + 1])[ends_a]
+        n_groups = np.diff(upto, prepend=0)
+        n_links = np.diff(np.concatenate([[0], np.cumsum(per)])[upto], prepend=0)
+        cuts = [0, *(2 * (ends_a + ends_b)).tolist()]
+        self.groups += ["".join(both[i:j])[:-1] for i, j in zip(cuts[:-1], cuts[1:])]
+        width = len(tok.b_bytes)
+        self.links.extend((links >> 32) * width + (links & 0xFFFFFFFF), n_links)
+        self.sizes.extend(np.stack([n_a, n_b, n_groups, n_links], axis=1).ravel(), np.full(len(pieces), 4))
+        self.held += PIECE_BYTES * len(pieces) + int(size.sum()) + sum(map(len, both)) + 8 * len(links)
+
+    def align(self, texts: list[str | None]):
+        """Of each text ``n_a, n_b, n_groups, n_links`` (an array of rows) and its groups' text; of all, one after the other,
+        the distinct link keys with their numbers of occurrences, and how many of them each text has."""
+        if self.held > KNOWN_BYTES:
+            self._forget()
+        parts = [[] if not t else pieces_of(t) if self.tok.safe else [t] for t in texts]
+        codes = self.codes.of(parts)
+        new, self.codes.new = self.codes.new, []
+        for group in _runs(new):
+            self._learn(group)
+        n = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        owner = np.repeat(np.arange(len(texts)), n)
+        sizes = self.sizes.take(codes)[0].reshape(-1, 4)
+        broken = np.bincount(owner, sizes[:, 0] == 0, minlength=len(texts)) > 0
+        if broken.any():
+            keep = ~broken[owner]
+            codes, owner, sizes, n = codes[keep], owner[keep], sizes[keep], np.where(broken, 0, n)
+        rows = np.zeros((len(texts), 4), dtype=np.int64)
+        some = np.flatnonzero(n)
+        cuts = np.concatenate([[0], np.cumsum(n)])
+        if len(some):
+            rows[some] = np.add.reduceat(sizes, cuts[some], axis=0)
+        names = [*map(self.groups.__getitem__, codes.tolist())]
+        cuts = cuts.tolist()
+        groups = [";".join(names[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]
+        # the links of a text, equal ones counted
+        found, per = self.links.take(codes)
+        width = len(self.tok.b_bytes)
+        span = len(self.tok.a_bytes) * width
+        found += np.repeat(owner * span, per)
+        found.sort()
+        first = np.flatnonzero(np.diff(found, prepend=-1))
+        mults = np.diff(first, append=len(found))
+        found = found[first]
+        of = found // span
+        found -= of * span
+        return rows, groups, (found // width << 32) | found % width, mults, np.bincount(of, minlength=len(texts))
+
+
+def _runs(pieces: list[str]) -> Iterator[list[str]]:
+    """The pieces in their order, about ``BATCH_BYTES`` of text at a time."""
+    run, room = [], 0
+    for p in pieces:
+        if run and room + len(p) > BATCH_BYTES:
+            yield run
+            run, room = [], 0
+        run.append(p)
+        room += len(p)
+    if run:
+        yield run
+
+
+def _aligner(path_a: str, path_b: str) -> Aligner:
+    known = process_cache("aligners")
+    if (path_a, path_b) not in known:
+        known[(path_a, path_b)] = Aligner(_tokenisers(path_a, path_b))
+    return known[(path_a, path_b)]
 
 
 def _align_task(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenisers(path_a, path_b)
+        aligner = _aligner(path_a, path_b)
         for part in slices(batches, "text", BATCH_BYTES):
-            texts = part.column("text").to_pylist()
-            present = [t for t in texts if t]
-            a_all = iter(e.ids for e in tok.a.encode_batch_fast([" " + t for t in present], add_special_tokens=False))
-            b_all = iter(tok.b.encode(present, num_threads=1))
-            out = {k: [] for k in ("rid", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "mults")}
-            for rid, doc_id, text in zip(part.column("rid").to_pylist(), part.column("doc_id").to_pylist(), texts):
-                ids = (next(a_all), next(b_all)) if text else (None, None)
-                n_a, n_b, n_groups, n_links, groups, links = align_text(tok, text, *ids)
-                keys, mults = np.unique(links, return_counts=True)
-                for name, value in (("rid", rid), ("doc_id", doc_id), ("n_a", n_a), ("n_b", n_b), ("n_groups", n_groups),
-                                    ("n_links", n_links), ("pairs", keys.tolist()), ("mults", mults.tolist()),
-                                    ("groups_sha256", hashlib.sha256(groups.encode()).hexdigest() if n_a else "")):
-                    out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out)
+            rows, groups, pairs, mults, n_pairs = aligner.align(part.column("text").to_pylist())
+            hashes = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n_pairs)]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("rid"), part.column("doc_id"), *map(pa.array, rows.T), pa.array(hashes, pa.string()),
+                 pa.ListArray.from_arrays(offsets, pa.array(pairs)), pa.ListArray.from_arrays(offsets, pa.array(mults))],
+                ["rid", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "mults"],
+            )
 
     return run
 

@@ -98,3 +98,38 @@ def test_empty(spark, no_docs):
 
     got = alignment.align_documents(no_docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
     assert got.collect() == []
+
+
+def test_each_piece_is_tokenised_once(tok):
+    """Words seen before are not given to the tokenisers again, and texts are put together from them as if whole."""
+    texts = [t for _, t in DOCS] + [" lead", "trail ", "a  b \n c", "in ▁ it", "in▁ it", "▁", "\nx y\n", "<s> <unk> <|endoftext|>x"]
+    aligner = alignment.Aligner(tok)
+    given = []
+
+    class Counted:
+        def encode(self, pieces, num_threads):
+            given.extend(pieces)
+            return tok.b.encode(pieces, num_threads=num_threads)
+
+    class Tok:
+        def __getattr__(self, name):
+            return Counted() if name == "b" else getattr(tok, name)
+
+    aligner.tok = Tok()
+    for _ in range(2):
+        rows, groups, pairs, mults, n_pairs = aligner.align(texts)
+        ends = n_pairs.cumsum()
+        for text, row, group, end, n in zip(texts, rows.tolist(), groups, ends, n_pairs):
+            *want, want_group, links = alignment.align_text(tok, text)
+            assert (row, group) == (want, want_group)
+            counts = {}
+            for link in links.tolist():
+                counts[link] = counts.get(link, 0) + 1
+            assert dict(zip(pairs[end - n : end].tolist(), mults[end - n : end].tolist())) == counts
+    assert len(given) == len(set(given)) < 300      # DOCS repeat 97 words 2,000 times
+
+
+def test_whole_texts_where_they_may_not_be_cut(tok, monkeypatch):
+    monkeypatch.setattr(tok, "safe", False)
+    rows, groups, *_ = alignment.Aligner(tok).align([t for _, t in DOCS])
+    assert [(*r, g) for r, g in zip(rows.tolist(), groups)] == [alignment.align_text(tok, t)[:5] for _, t in DOCS]
