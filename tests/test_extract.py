@@ -289,3 +289,10 @@ def test_grounding(spark):
 def test_figures(spark):
     got = spark.range(1).select(figures(F.lit("INR 5,00,000 and 92500. 3-day 1.25"))).first()[0]
     assert got == ["500000", "92500", "3", "1.25"]
+
+
+def test_each_reading_of_the_form_is_made_once(spark):
+    """Four labels and the description are searched once each, however often their values are asked for."""
+    docs = spark.range(3).selectExpr("concat('Policy Number: AUTO-', id) AS document_text")
+    plan = extract.extract_fields(docs, amount_text=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 5
